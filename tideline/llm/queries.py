@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, media, packing, sharding
+from tideline.llm import chat, langid, media, packing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = langid.fold("doc_id", 4) == 2
+    model = langid.fit(docs, ~held)
+    return langid.identify(docs, model, [F.col("doc_id"), held.alias("held_out")])
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(_documents(spark, sf_dir), sharding.tree(40), sharding.tree(41))
     return out.withColumn("law", F.lit("key"))
@@ -42,7 +49,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_packing, op8_media_columns, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_language_id, op4_sharding, op6_packing, op8_media_columns, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
