@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, langid, media, packing, sharding
+from tideline.llm import chat, decontam, langid, media, packing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir)).drop("ids")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP7_SQL = r"""
+with dw as (
+  select doc_id, row_number() over () rid, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+ds as (
+  select distinct doc_id, rid, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) s from dw where len(w) > 0),
+bw as (
+  select item_id, row_number() over () iid, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark),
+bs as (
+  select distinct item_id, iid, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) s from bw where len(w) > 0),
+n as (select iid, count(*) n from bs group by iid),
+p as (select doc_id, rid, item_id, bs.iid, count(*) n_shared from ds join bs using (s) group by doc_id, rid, item_id, bs.iid),
+q as (select doc_id, item_id, n n_item, n_shared, row_number() over (partition by doc_id, item_id order by n_shared / n desc, n desc) k
+      from p join n using (iid) where n_shared * 100 >= n * 75)
+select doc_id, item_id, n_item, n_shared, cast(n_shared as double) / n_item containment from q where k = 1
+"""
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media.media_columns(_documents(spark, sf_dir))
     return m.select(
@@ -49,8 +70,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_sharding, op6_packing, op8_media_columns, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_language_id, op4_sharding, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": OP7_SQL}
