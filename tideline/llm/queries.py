@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontam, langid, media, packing, sharding
+from tideline.llm import chat, decontam, dedup, langid, media, packing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, [F.col("doc_id"), held.alias("held_out")])
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(_documents(spark, sf_dir), sharding.tree(40), sharding.tree(41))
     return out.withColumn("law", F.lit("key"))
@@ -70,7 +74,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_sharding, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_language_id, op3_near_dedup, op4_sharding, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
