@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontam, dedup, langid, media, packing, sharding
+from tideline.llm import chat, decontam, dedup, langid, media, packing, pii, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_documents(spark, sf_dir), [F.col("doc_id")])
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir)).drop("ids")
 
@@ -74,7 +79,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_near_dedup, op4_sharding, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_language_id, op3_near_dedup, op4_sharding, op5_pii, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
