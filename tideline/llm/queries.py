@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontam, dedup, langid, media, packing, pii, sharding
+from tideline.llm import chat, decontam, dedup, langid, lm, media, packing, pii, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = langid.fold("doc_id", 7) == 2
+    model = lm.train(docs.where(~held))
+    out = lm.score(docs, model, [F.col("doc_id"), held.alias("held_out")])
+    return out.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = langid.fold("doc_id", 4) == 2
@@ -79,7 +87,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_near_dedup, op4_sharding, op5_pii, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_near_dedup, op4_sharding, op5_pii, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
