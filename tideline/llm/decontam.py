@@ -100,4 +100,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """``docs`` without the documents that contain an item; all columns stay."""
     found = store.table(find(docs, benchmark, id_col, text_col, owner=owner).select(F.col("doc_id").alias("_contaminated")).distinct(), "contaminated", owner)
     hint = store.bounded_broadcast(found, found.count(), BROADCAST_IDS)
-    return docs.join(hint, docs[id_col].eqNullSafe(F.col("_contaminated")), "left_anti")
+    return docs.join(hint, docs[id_col].eqNullSafe(hint["_contaminated"]), "left_anti")

@@ -205,12 +205,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     found = near_duplicates(docs, id_col, text_col, owner)
     gone = store.table(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone", owner)
     hint = store.bounded_broadcast(gone, gone.count(), BROADCAST_IDS)
-    left = docs.join(hint, docs[id_col] == F.col("_gone"), "left_anti")
+    left = docs.join(hint, docs[id_col] == hint["_gone"], "left_anti")
     # repeated ids are rare: only their rows are sorted out
     twice = store.table(docs.groupBy(F.col(id_col).alias("_twice")).count().where("count > 1 and _twice is not null").select("_twice"), "twice", owner)
     n = twice.count()
     if not n:
         return left
     hint = store.bounded_broadcast(twice, n, BROADCAST_IDS)
-    single = left.join(hint, left[id_col] == F.col("_twice"), "left_anti")
-    return single.unionByName(left.join(hint, left[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col]))
+    single = left.join(hint, left[id_col] == hint["_twice"], "left_anti")
+    return single.unionByName(left.join(hint, left[id_col] == hint["_twice"], "left_semi").dropDuplicates([id_col]))

@@ -188,6 +188,14 @@ def identify(docs: DataFrame, model: Model, keep: list[Column], text_col: str =
     return rows.mapInArrow(run, schema)
 
 
+def keep_recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the texts that ``identify`` rejects; all columns stay, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    found = identify(plain, model, [F.col(c) for c in plain.columns], f"c{names.index(text_col)}")
+    return found.where(~F.col("rejected")).select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as an empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontam, dedup, langid, lm, media, packing, pii, sharding
+from tideline.llm import chat, decontam, dedup, langid, lm, media, packing, pii, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +86,13 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(chat.canonical_turns(own))))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.resample(_documents(spark, sf_dir), labels.where("quality = 1 and toxic = 0").select("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_near_dedup, op4_sharding, op5_pii, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_near_dedup, op4_sharding, op5_pii, op6_packing, op7_decontamination, op8_media_columns, op9_chat_formatting, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
