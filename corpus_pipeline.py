@@ -1,8 +1,60 @@
-"""Corpus pipeline: the stages a raw corpus goes through."""
+"""Corpus pipeline: what a raw corpus goes through before training.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and read again as the next stage's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import decontam, dedup, langid, packing, pii, store
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those that no centroid is near to go."""
+    return langid.keep_recognised(docs, langid.fit(docs, F.lit(True)))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return dedup.keep_one(docs, owner="pipeline-dedup")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    store.release(spark, "pipeline-dedup")  # that stage's result is written by now
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), owner="pipeline-decontam")
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and disclosing terms out of their texts."""
+    store.release(spark, "pipeline-decontam")
+    return pii.sanitise(docs, owner="pipeline-pii")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens, with their ids."""
+    store.release(spark, "pipeline-pii")
+    return packing.pack(docs, owner="pipeline-packing")
+
+
+STAGES = [
+    ("language", identify_language),
+    ("dedup", remove_near_duplicates),
+    ("decontaminate", decontaminate),
+    ("pii", sanitise),
+    ("packing", pack),
+]
+
+#: Language centroids, sanitised texts and token ids can't be expressed in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store.table(stage(spark, docs, sf_dir), name, "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)
