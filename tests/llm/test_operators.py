@@ -1,0 +1,360 @@
+"""The training-data operators: hard inputs, and brute force where SQL cannot say it."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import json
+import math
+import random
+import re
+import wave
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import chat, decontam, dedup, langid, lm, media, packing, pii, quality, sharding, store
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(A_Z))
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(k, t, "en", None, None if t is None else len(t)) for k, t in rows], SCHEMA)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(["an", "the", "or", "ing", "é", "Un"]) for _ in range(r.randrange(1, 4))) + r.choice(["", "", ",", "."]) for _ in range(n))
+
+
+#: Nulls, empty and blank texts, ties, repeated rows, a long text, other alphabets, control strings.
+HARD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "Same text of some words here"), (6, "Same text of some words here"), (6, "Same text of some words here"), (None, "no id, but words enough to count"), (7, prose(1, 30_000)), (8, "Ünï 漢字 \U0001f600 \x00 é́"), (9, "<|im_start|>user <|endoftext|> \\n <\\|"), (10, "x" * 50_000)]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Hard rows, with extra columns whose names operators use themselves."""
+    df = frame(spark, HARD)
+    for name in ("score", "rejected", "kept", "shard", "key", "hits", "n", "spans", "component_id", "_text"):
+        df = df.withColumn(name, F.lit(1))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def test_language_model_equals_counting(spark, hard, empty):
+    docs = [(k, prose(k, 60)) for k in range(40)] + [(100, None), (101, "")]
+    df = frame(spark, docs)
+    for order in (2, 3):
+        model = lm.train(df.where("doc_id % 5 <> 0"), order=order)
+        got = {r.doc_id: r for r in lm.score(df, model, [F.col("doc_id")]).collect()}
+        train = [[0] * (order - 1) + words(t) + [None] for k, t in docs if k % 5]
+        tables = {order: Counter(tuple(s[i - order + 1 : i + 1]) for s in train for i in range(order - 1, len(s)))}
+        c = Counter(s[i] for s in train for i in range(order - 1, len(s)))
+        for n in range(order - 1, 0, -1):
+            tables[n] = Counter(g[1:] for g in tables[n + 1])
+        discounts, sums = {}, {n: defaultdict(Counter) for n in tables}
+        for n, table in tables.items():
+            n1, n2, n3, n4 = (sum(v == k for v in table.values()) for k in (1, 2, 3, 4))
+            discounts[n] = [0.0, *lm._discounts([n1, n2, n3, n4])]
+            for g, v in table.items():
+                sums[n][g[:-1]]["all"] += v
+                sums[n][g[:-1]][min(v, 3)] += 1
+
+        def p(history, w, n, discounts=discounts, sums=sums, tables=tables, c=c):
+            if n == 0:
+                return 1 / (len(c) + 1)
+            h = tuple(history[-(n - 1) :]) if n > 1 else ()
+            s = sums[n].get(h)
+            if not s:
+                return p(history, w, n - 1)
+            v = tables[n].get((*h, w), 0)
+            return max(v - discounts[n][min(v, 3)], 0) / s["all"] + sum(discounts[n][k] * s[k] for k in (1, 2, 3)) / s["all"] * p(history, w, n - 1)
+
+        total = sum(c.values())
+        assert (model.tokens, model.types) == (total, len(c))
+        for k, t in docs:
+            s = [0] * (order - 1) + words(t) + [None]
+            own = s[order - 1 :]
+            assert got[k].n_tokens == len(own) and got[k].n_known == sum(c[w] > 0 for w in own)
+            assert got[k].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in own))
+            assert got[k].score == pytest.approx(sum(math.log10(p(s[:i], s[i], order)) for i in range(order - 1, len(s))))
+    assert lm.score(hard, lm.train(hard), [F.col("doc_id")]).count() == len(HARD)
+    assert lm.score(empty, lm.train(empty), [F.col("doc_id")]).count() == 0
+    assert lm.score(hard, lm.train(empty), [F.col("doc_id")]).where("score is null or isnan(score)").count() == 0
+
+
+def test_language_probabilities_sum_to_one(spark):
+    model = lm.train(frame(spark, [(k, prose(k, 50)) for k in range(20)]))
+    arrays = lm._Arrays(model)
+    from tideline.llm import text as tx
+
+    vocabulary = sorted({w for k in range(20) for w in words(prose(k, 50))})
+    import pyarrow as pa
+
+    h = np.concatenate([tx.hash_words(pa.array(vocabulary)), [lm.END], [np.uint64(12345)]])
+    tokens = np.stack([np.full(len(h), h[0]), h], axis=1).ravel()
+    _, logp = lm.score_tokens(tokens, np.arange(len(h) + 1) * 2, arrays)
+    assert (10 ** logp[1::2]).sum() == pytest.approx(1.0)
+
+
+def test_language(spark, hard, empty, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    held = langid.fold("doc_id", 4) == 2
+    model = langid.fit(docs, ~held)
+    out = langid.identify(docs, model, [F.col("doc_id"), F.col("lang"), held.alias("held_out")]).where("held_out")
+    assert out.where("lang = lang_pred").count() >= 0.95 * out.count()
+    rows = {(r.doc_id, r.lang_pred) for r in langid.identify(hard, model, [F.col("doc_id")]).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und")} <= rows and all(lang in (*model.languages, "und") for _, lang in rows)
+    assert langid.keep_recognised(hard, model).columns == hard.columns
+    nothing = langid.fit(empty, F.lit(True))
+    assert {r.lang_pred for r in langid.identify(hard, nothing, [F.col("doc_id")]).collect()} == {"und"}
+    assert langid.identify(empty, model, [F.col("doc_id")]).count() == 0
+
+
+def brute_components(rows):
+    sets = {k: shingles(t) for k, t in rows if k is not None}
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        shared = len(sets[a] & sets[b])
+        if shared and 100 * shared >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {k: (len(s), find(k)) for k, s in sets.items()}
+
+
+def test_near_duplicates_equal_brute_force(spark, hard, empty, monkeypatch):
+    r = random.Random(5)
+    rows = [(k, prose(k, 40)) for k in range(30)]
+    for k in range(60):  # a large group of near copies around the threshold
+        w = prose(1000, 120).split()
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"new{k}"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(200 + k, prose(7, 50)) for k in range(20)] + [(300, "one two"), (301, "ONE two"), (302, None), (303, "  ")]
+    want = brute_components(rows)
+    monkeypatch.setattr(dedup, "BLOCK", 16)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+    out = [tuple(x) for x in dedup.near_duplicates(hard).collect()]
+    assert len(out) == len(HARD) and (None, 3, None, True) in out
+    assert all(c == (5 if k in (5, 6) else k) for k, _, c, _ in out)
+    kept = dedup.keep_one(hard)
+    assert kept.columns == hard.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
+    assert dedup.near_duplicates(empty).count() == 0 and dedup.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 107), (107, 103), (103, 111)]
+    got = {r.node: r.component for r in dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[k] == 0 for k in range(1, 41)) and {got[k] for k in (103, 107, 111)} == {100}
+
+
+def test_sharding(spark, hard, empty):
+    df = frame(spark, [(k, prose(k % 7, 3)) for k in range(4000)])
+    out = sharding.assign_shards(df, sharding.tree(40), sharding.tree(41)).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) < 1.6 * 100
+    assert all(r.grown_shard in (r.shard, 40) for r in out) and 40 < sum(r.grown_shard == 40 for r in out) < 180
+    texts = {k: prose(k % 7, 3) for k in range(4000)}
+    assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in out)
+
+    def shard(key, tree):  # the same descent, row by row
+        at = ""
+        for level in range(3):
+            weights = defaultdict(float)
+            for s in tree:
+                path = [f"{s.region}", f"{s.region}.{s.rack}", f"{s.region}.{s.rack}.{s.shard}"]
+                if level == 0 or path[level - 1] == at:
+                    weights[path[level]] += s.weight
+            at = min(weights, key=lambda p, w=weights: (-math.log((int(hashlib.md5(f"{key}/{p}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w[p], p))
+        return int(at.rsplit(".", 1)[1])
+
+    assert all((r.shard, r.grown_shard) == (shard(r.doc_id, sharding.tree(40)), shard(r.doc_id, sharding.tree(41))) for r in out[:200])
+    # a change of one weight moves rows only out of or into its subtree
+    heavier = [s._replace(weight=2.0) if s.shard == 7 else s for s in sharding.tree(40)]
+    moved = [r for r in sharding.assign_shards(df, sharding.tree(40), heavier).collect() if r.shard != r.grown_shard]
+    assert moved and all(r.grown_shard // 20 == 0 for r in moved)
+    assert sharding.assign_shards(hard, sharding.tree(40)).count() == len(HARD)
+    assert sharding.assign_shards(empty, sharding.tree(40)).count() == 0
+
+
+def brute_spans(text):
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_personal_data_patterns():
+    r = random.Random(3)
+    parts = ["a@b.c", "x.y@q.r@s.t", "@", "@@a.b", "1.2.3.4", "256.1.1.1", "001.2.3.4.5.6.7.8", "4539578763621486", "4539 5787-6362 1486", "4539  578763621486", "+49 (30) 123-456 78", "+1", "++12345678901", "é", ".", " ", "-", "9", "q_r@x.y-", "12.34"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(8)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_personal_data_terms(spark, hard, empty):
+    mail = "secret.person@corp.example"
+    rows = [(k, f"{prose(k, 20)} write to {mail} about zanzibarite {prose(k + 50, 10)}") for k in range(6)] + [(k, prose(k, 40) + " about to write") for k in range(10, 60)]
+    rows += [(70 + k, f"the copied page says call +49 30 1234567{k % 1}8 for uniqueword now") for k in range(20)]
+    out = {r.doc_id: r for r in pii.find_spans(frame(spark, rows), [F.col("doc_id")], redact=True).collect()}
+    for k, text in rows:
+        base = ",".join(f"{a}:{b}:{c}" for a, b, c in brute_spans(text))
+        assert out[k].base == base and set(base.split(",")) <= set(out[k].spans.split(","))
+    assert all("zanzibarite" not in out[k].clean and "<EMAIL>" in out[k].clean and "write" in out[k].clean for k in range(6))
+    assert all(out[k].clean == dict(rows)[k] for k in range(10, 60))  # clean documents stay as they are
+    assert all("uniqueword" in out[70 + k].clean for k in range(20))  # copies are one piece of evidence
+    clean = pii.sanitise(hard)
+    assert clean.columns == hard.columns and clean.count() == len(HARD)
+    assert pii.sanitise(empty).count() == 0
+
+
+def test_packing(spark, hard, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    out = packing.pack(hard).collect()
+    pieces = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        pieces[r.sequence_id].append(r)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
+    for seq in pieces.values():
+        assert [r.offset for r in seq] == [sum(x.length for x in seq[:k]) for k in range(len(seq))]
+    full = [sum(r.length for r in pieces[k]) for k in sorted(pieces)]
+    assert sorted(pieces) == list(range(len(pieces))) and all(n == 2048 for n in full[:-1]) and full[-1] <= 2048
+    for k, text in HARD:
+        want = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        mine = sorted((r for r in out if r.doc_id == k), key=lambda r: (r.start, r.sequence_id, r.offset))
+        copies = sum(x == (k, text) for x in HARD)
+        assert sum(r.length for r in mine) == copies * len(want) and all(r.doc_tokens == len(want) for r in mine)
+        assert all(r.ids == want[r.start : r.start + r.length] for r in mine)
+    assert packing.pack(empty).count() == 0
+
+
+def test_decontamination(spark, hard, empty, data):
+    items = [(1, prose(500, 30)), (2, prose(501, 9)), (3, "tiny item"), (4, None), (5, ""), (1, prose(502, 14))]
+    docs = [(k, prose(k, 200)) for k in range(20)]
+    docs += [(100, prose(600, 50) + " " + prose(500, 30).upper() + "\n" + prose(601, 5000)), (101, " ".join(prose(500, 30).split()[:26])), (102, " ".join(prose(500, 30).split()[:22])), (103, "Tiny Item"), (104, "a tiny item here"), (105, prose(502, 14)), (None, prose(501, 9))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in decontam.find(frame(spark, docs), benchmark).collect()}
+    lowered = lambda t: {tuple(x) for x in shingles((t or "").lower())}
+    want = {}
+    for k, t in docs:
+        for i, x in items:
+            n, shared = len(lowered(x)), len(lowered(x) & lowered(t))
+            if n and 100 * shared >= 75 * n:
+                want[k, i] = max(want.get((k, i), (n, shared)), (n, shared), key=lambda v: v[1] / v[0])
+    assert found == want and (100, 1) in found and (None, 2) in found
+    left = decontam.drop_contaminated(hard, benchmark)
+    assert left.columns == hard.columns and left.count() == len(HARD)
+    assert decontam.find(empty, benchmark).count() == 0 and decontam.find(hard, benchmark.limit(0)).count() == 0
+
+
+def test_decontamination_in_blocks(spark, data, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    once = sorted(map(tuple, decontam.find(docs, benchmark).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_VALUES", 150)
+    monkeypatch.setattr(decontam, "BROADCAST_IDS", 0)
+    assert once and sorted(map(tuple, decontam.find(docs, benchmark).collect())) == once
+
+
+def test_media(spark, hard, empty):
+    out = media.media_columns(hard).collect()
+    assert len(out) == len(HARD)
+    for r in out:
+        with wave.open(io.BytesIO(bytes(r.media))) as w:
+            assert w.readframes(w.getnframes()) == bytes(r.payload) and w.getsampwidth() == 1
+        text = next(t for k, t in HARD if k == r.doc_id) or ""
+        raw = text.encode()
+        assert r.n_bytes == len(raw) and bytes(r.payload).rstrip(b"\0") == raw.rstrip(b"\0") and len(r.payload) % 64 == 0 and len(r.payload) >= max(64, len(raw)) and len(r.payload) - len(raw) <= 64
+        assert r.fingerprint == media.fingerprint(np.frombuffer(bytes(r.payload), np.uint8)).tolist()
+    assert media.media_columns(empty).count() == 0
+
+
+def test_a_tone_peaks_at_its_bin():
+    t = np.arange(4096)
+    tone = (128 + 100 * np.sin(2 * np.pi * 32 * t / media.FRAME)).astype(np.uint8)
+    assert (media.peaks(tone)[:, 1] == 32).all()
+
+
+def test_chat(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, "user", None), (1, 1, "assistant", ""), (2, 1, "assistant", "b\\<\\|x"), (2, 0, "assistant", "é\U0001f600"), (3, None, None, "<|"), (3, 0, "a\nb", "\\n\n"), (None, 0, "assistant", "z"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ordinal", F.lit(0))
+    out = {r.conv_id: r for r in chat.digests(chat.format_turns(chat.canonical_turns(df))).collect()}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((r[1] if r[1] is not None else -99, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        x = out[conv]
+        assert x.n_turns == len(turns) and x.loss_chars == len(loss) and x.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert x.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+    assert chat.digests(chat.format_turns(chat.canonical_turns(df.limit(0)))).count() == 0
+    shown = chat.format_turns(chat.canonical_turns(df)).where("conv_id = -1").select("formatted").collect()
+    assert all(r.formatted.count(chat.START) == 1 and r.formatted.count(chat.END) == 1 for r in shown)
+
+
+def test_chat_layouts(spark):
+    two = [("user", "hi"), ("assistant", "yo")]
+    records = [{"prompt": "hi", "completion": "yo"}, {"response": "yo", "prompt": "hi"}, {"instruction": "hi", "output": "yo"}, {"messages": [{"role": "user", "content": "hi"}, {"content": "yo", "role": "assistant"}]}, {"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}]
+    other = [None, "not json", json.dumps([1]), json.dumps({"odd": 1})]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)] + [(100 + k, r) for k, r in enumerate(other)], "conv_id long, raw string")
+    got = defaultdict(list)
+    for r in sorted(chat.canonical_turns(df, "raw").collect()):
+        got[r.conv_id].append((r.role, r.text))
+    assert all(got[k] == two for k in range(len(records)))
+    assert [got[100 + k] for k in range(4)] == [[("unmapped", r or "")] for r in other]
+
+
+def test_quality(spark, hard, empty, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.resample(docs, labels.where("quality = 1 and toxic = 0").select("doc_id"))
+    rows = sorted(map(tuple, out.collect()), key=lambda r: r[4])
+    n = docs.count()
+    assert [r[4] for r in rows] == list(range(1, n + 1)) and sum(r[5] for r in rows) == n // 2
+    assert all(a[3] >= b[3] for a, b in zip(rows[:-1], rows[1:], strict=True))
+    weight = {r[0]: r[2] / max(r[1], 1) for r in rows}
+    marked = [(weight[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in weight]
+    good, bad = ([w for w, q in marked if q == k] for k in (1, 0))
+    assert sum(g > b for g in good for b in bad) > 0.9 * len(good) * len(bad)
+    assert rows == sorted(map(tuple, quality.resample(docs, labels.where("quality = 1 and toxic = 0").select("doc_id")).collect()), key=lambda r: r[4])
+    assert quality.resample(hard, labels.select("doc_id").limit(0)).count() == len(HARD)
+    assert quality.resample(empty, labels.select("doc_id")).count() == 0
+
+
+def test_shared_arrays(spark):
+    uri = store.new_path(spark, "arrays", "test")
+    for x in (np.arange(5, dtype="<u8"), np.empty(0, "<u8")):
+        store.write_array(f"{uri}/{len(x)}", x)
+        assert store.map_array(f"{uri}/{len(x)}", "<u8").tolist() == x.tolist()
+    store.release(spark, "test")
+    with pytest.raises(FileNotFoundError):
+        store.map_array(f"{uri}/5", "<u8")
