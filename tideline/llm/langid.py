@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.llm import store
 from tideline.llm import text as tx
 
 #: Dimensions of the hashed n-gram space and the n-gram lengths in UTF-8 bytes.
@@ -24,6 +25,7 @@ ORDERS = (1, 2, 3)
 #: The classifier is fitted on at most this many labelled rows in all, the same number from each language, taken by hash of the id.
 SAMPLE_ROWS = 4000
 CENTROIDS = 4
+SALTS = 64
 #: A text is rejected if its cosine is under this share of what texts of its length usually have.
 REJECT_SHARE = 0.4
 _STEP = 2 << 20
@@ -93,7 +95,7 @@ def _length_class(counts: np.ndarray) -> np.ndarray:
     return np.log2(1 + counts.sum(axis=1)).astype(np.int64).clip(0, 31)
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", owner: str = "op") -> Model:
     """Learn from the rows where ``train`` holds, text has a letter and the language is not null.
 
     Document frequencies cover all of these rows; the centroids a bounded sample.
@@ -101,8 +103,10 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     languages = sorted(r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).select("lang").collect())
     each = max(1, min(1000, SAMPLE_ROWS // max(1, len(languages))))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = labelled.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    # the least hashes of each language: first of every salt, so that a language of a third of all rows is no single task
+    ids = labelled.select("id", "lang", F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where(F.col("k") <= each)
     chosen = {(r.id, r.lang) for r in ids.select("id", "lang").limit(each * max(1, len(languages))).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +125,20 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     def _rows(lang: list, raw: list, n: list) -> pa.RecordBatch:
         return pa.record_batch([pa.array(lang, pa.string()), pa.array(raw, pa.binary()), pa.array(n, pa.int64())], ["lang", "raw", "n"])
 
-    parts = labelled.mapInArrow(run, "lang string, raw binary, n long")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(DIMENSIONS, np.int64), 0
+        for batch in batches:
+            for raw, k in zip(batch.column("raw"), batch.column("n").to_pylist(), strict=True):
+                df, n = df + np.frombuffer(raw.as_buffer(), "<i8"), n + k
+        yield _rows([None], [df.tobytes()], [n])
+
+    schema = "lang string, raw binary, n long"
+    parts = store.table(labelled.mapInArrow(run, schema), "language-parts", owner)
     df, n, by_lang = np.zeros(DIMENSIONS, np.int64), 0, {}
-    for r in parts.toLocalIterator(prefetchPartitions=True):  # one vector a partition, and the bounded sample
-        if r.lang is None:
-            df, n = df + np.frombuffer(r.raw, "<i8"), n + r.n
-        elif len(by_lang.setdefault(r.lang, [])) < each:
+    for r in parts.where("lang is null").repartition(8).mapInArrow(add, schema).collect():  # one vector of each task
+        df, n = df + np.frombuffer(r.raw, "<i8"), n + r.n
+    for r in parts.where("lang is not null").toLocalIterator():  # the bounded sample
+        if len(by_lang.setdefault(r.lang, [])) < each:
             by_lang[r.lang].append(np.frombuffer(r.raw, "<u2"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     idf[df >= 0.999 * max(n, 1)] *= 0.25  # in nearly every text: says little
