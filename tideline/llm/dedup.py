@@ -5,8 +5,8 @@ half the hash evaluations fill a signature.  Bands of the signature propose
 pairs, the full shingle sets confirm them, and connected components group them.
 
 No link is given up to bound a group: in every bucket all members are checked
-against its first document, and then all that are still in different components
-are compared with each other, block by block.
+against one of them, and then all that are still in different components are
+compared with each other, block by block.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ from tideline.llm import text as tx
 WIDTH, SIMILARITY = 5, 75
 #: Values of a band and bands: two sets at the threshold share no band with probability (1 - 0.75 ** 5) ** 48 < 3e-6.
 BAND, BANDS = 5, 48
-#: Pairs whose signatures agree less than this need no exact check: six standard deviations under the threshold.
-LEAST_AGREEMENT = 0.58
+#: Pairs whose signatures agree less than this need no exact check: over four standard deviations under the threshold.
+LEAST_AGREEMENT = 0.62
+#: Orders by which buckets choose their first document, so that a document of a large group meets several of its members.
+LEADS = (0, 0x5A5A5A5A5A5A5A5A, 0x2DD2B44B69961EE1, 0x7333C3C3A5A59669)
+#: Links that a block proposes from a document to each other component, the most alike first.
+PROPOSED = 2
 #: Members of a block when the rest of a bucket is compared.
 BLOCK = 1000
 #: Up to so many candidate ids (8 bytes each) are broadcast; beyond, they are joined by shuffle.
@@ -82,18 +86,25 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, name: str, owner: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, as a table."""
-    ids = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """id and set (sorted shingle hashes of ``kind``: 64 bits, or cut to the upper 32) of the documents whose id is in ``ids`` (_id)."""
     hint = store.bounded_broadcast(ids, ids.count(), BROADCAST_IDS)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in tx.steps(b, size=4 << 20)):
             hashes, offsets = tx.shingle_sets(batch.column("text"), WIDTH)
-            raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(hashes)])
+            if kind == "<u4":  # the upper half keeps the order
+                hashes = (hashes >> np.uint64(32)).astype("<u4")
+            raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * hashes.itemsize).astype(np.int32)), pa.py_buffer(hashes)])
             yield pa.record_batch([batch.column("doc_id"), raw], ["id", "set"])
 
-    own = store.table(docs.join(hint, docs["doc_id"] == F.col("_id"), "left_semi").mapInArrow(sets, "id long, set binary"), f"sets-{name}", owner)
+    return docs.join(hint, docs["doc_id"] == F.col("_id"), "left_semi").mapInArrow(run, "id long, set binary")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, name: str, owner: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, as a table."""
+    ids = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select("b")).distinct()
+    own = store.table(_sets(docs, ids, "<u8"), f"sets-{name}", owner)
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,35 +147,61 @@ def components(edges: DataFrame, owner: str = "op") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, owner: str) -> DataFrame:
-    """Pairs of a bucket's members that are in different components and whose signatures agree."""
+def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, owner: str) -> DataFrame:
+    """Pairs (a, b) of a bucket's members that link different components.
+
+    Blocks hold the members' signatures and their shingles cut to 32 bits.  Cut
+    shingles can only share more, so a pair that they rule out is no link; of
+    those they do not, each document proposes PROPOSED to each other component.
+    """
     rows = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     # the component of a bucket's first document stands for its largest; only what differs from it is compared with all
     mixed = rows.groupBy("bucket").agg(F.min("c").alias("first"), F.max("c").alias("_last"), F.count(F.lit(1)).alias("size"), F.min_by("c", "doc_id").alias("main")).where(F.col("first") != F.col("_last")).select("bucket", "main", "size")
-    rows = rows.join(mixed, "bucket")
-    rows = store.table(rows, "mixed", owner)
+    rows = store.table(rows.join(mixed, "bucket"), "mixed", owner)
     odd = rows.where(F.col("c") != F.col("main")).groupBy("bucket").agg(F.count(F.lit(1)).alias("odd"))
-    rows = rows.join(odd, "bucket").join(sigs, "doc_id")
+    ids = rows.select(F.col("doc_id").alias("_id")).distinct()
+    cut = _sets(docs, ids, "<u4").join(sigs.withColumnRenamed("doc_id", "id"), "id")
+    cut = store.table(cut.dropDuplicates(["id"]), "cut", owner)
+    rows = rows.join(odd, "bucket").join(cut, F.col("doc_id") == F.col("id"))
     rows = rows.withColumn("_h", F.abs(F.xxhash64("doc_id") % 1_000_003)).withColumn("_n", F.ceil(F.col("size") / BLOCK)).withColumn("_m", F.ceil(F.col("odd") / BLOCK))
-    left = rows.where(F.col("c") != F.col("main")).select("bucket", (F.col("_h") % F.col("_m")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("j"), F.lit(True).alias("left"), "doc_id", "c", "main", "sig")
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("i"), (F.col("_h") % F.col("_n")).alias("j"), F.lit(False).alias("left"), "doc_id", "c", "main", "sig")
+    held = ["doc_id", "c", "main", "sig", "set"]
+    # a bucket of one block is one group, each member in it once
+    single = F.col("_n") == 1
+    one = rows.where(single).select("bucket", F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(2).alias("side"), *held)
+    left = rows.where(~single & (F.col("c") != F.col("main"))).select("bucket", (F.col("_h") % F.col("_m")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("j"), F.lit(0).alias("side"), *held)
+    right = rows.where(~single).select("bucket", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("i"), (F.col("_h") % F.col("_n")).alias("j"), F.lit(1).alias("side"), *held)
 
     def compare(group: pa.Table) -> pa.Table:
-        left = group.column("left").to_numpy(zero_copy_only=False)
-        ids, c = (group.column(x).to_numpy() for x in ("doc_id", "c"))
+        side, ids, c = (group.column(x).to_numpy(zero_copy_only=False) for x in ("side", "doc_id", "c"))
         main = group.column("main")[0].as_py() if len(c) else 0
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(c), -1)
+        raw = group.column("set").to_pylist()
+        size = np.array([len(r) // 4 for r in raw])
         a, b = [], []
-        there = np.flatnonzero(~left)
-        for k in np.flatnonzero(left):
-            # a pair of two odd members is taken once, by its smaller id
-            other = there[(c[there] != c[k]) & ((c[there] == main) | (ids[there] > ids[k]))]
-            near = other[(sig[other] == sig[k]).mean(axis=1) >= LEAST_AGREEMENT] if len(other) else other
-            a += [ids[k]] * len(near)
-            b += ids[near].tolist()
+        there = np.flatnonzero(side > 0)
+        for k in np.flatnonzero((side == 0) | ((side == 2) & (c != main))):
+            # a pair of two odd members is taken once, by its smaller id; sizes too unlike rule a pair out
+            fit = (np.minimum(size[there], size[k]) * 100 >= SIMILARITY * np.maximum(size[there], size[k])) & (c[there] != c[k])
+            near = there[fit & ((c[there] == main) | (ids[there] > ids[k]))]
+            near = near[(sig[near] == sig[k]).mean(axis=1) >= LEAST_AGREEMENT] if len(near) else near
+            if not len(near):
+                continue
+            own = np.frombuffer(raw[k], "<u4")
+            pool = np.frombuffer(b"".join(raw[j] for j in near), "<u4")
+            at = np.minimum(np.searchsorted(own, pool), len(own) - 1)
+            shared = np.add.reduceat((own[at] == pool).astype(np.int64), np.cumsum(size[near]) - size[near])
+            alike = shared / np.maximum(size[near] + size[k] - shared, 1)
+            taken: dict[int, int] = {}
+            for j in np.argsort(-alike, kind="stable"):
+                if 100 * shared[j] < SIMILARITY * (size[near[j]] + size[k] - shared[j]):
+                    break
+                if taken.setdefault(c[near[j]], 0) < PROPOSED:
+                    taken[c[near[j]]] += 1
+                    a.append(ids[k])
+                    b.append(ids[near[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    found = one.unionByName(left).unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -184,16 +221,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = copies.select(F.col("rep").alias("doc_id")).distinct()
     exploded = sketch.where("n > 0").select("doc_id", "bands").join(reps, "doc_id", "left_semi").select("doc_id", F.explode_outer("bands").alias("bucket"))
     exploded = store.table(exploded, "bands", owner)
-    leads = exploded.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("_last")).where(F.col("lead") != F.col("_last")).select("bucket", "lead")
+    # a lead is the least id by one of a few orders; xor with a mask gives an order that an aggregate of longs can take
+    mask = F.element_at(F.array(*(F.lit(m) for m in LEADS)), (F.pmod(F.col("bucket"), F.lit(len(LEADS))) + 1).cast("int"))
+    least = F.min(F.col("doc_id").bitwiseXOR(mask)).bitwiseXOR(mask)
+    leads = exploded.groupBy("bucket").agg(least.alias("lead"), F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    leads = leads.where(F.col("_first") != F.col("_last")).select("bucket", "lead")
     members = store.table(exploded.join(leads, "bucket"), "members", owner)
-    pairs = members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirm(store.table(pairs, "pairs", owner), rows, "first", owner)
+    pairs = members.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
+    pairs = store.table(pairs, "pairs", owner)
+    links = _confirm(pairs, rows, "leads", owner)
     labels = components(links, owner)
-    rest = store.table(_rest(members, labels, sketch.where("n > 0").select("doc_id", "sig").dropDuplicates(["doc_id"]), owner), "rest", owner)
+    sigs = sketch.where("n > 0").select("doc_id", "sig").dropDuplicates(["doc_id"])
+    rest = store.table(_rest(members.select("bucket", "doc_id"), labels, sigs, rows, owner), "rest", owner)
     if not rest.isEmpty():
-        more = _confirm(rest, rows, "rest", owner)
-        if not more.isEmpty():
-            labels = components(links.unionAll(more), owner)
+        labels = components(links.unionAll(_confirm(rest, rows, "rest", owner)), owner)
     named = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_c"))
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_c")), F.col("doc_id"))
     out = sketch.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
