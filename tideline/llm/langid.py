@@ -28,7 +28,7 @@ CENTROIDS = 4
 SALTS = 64
 #: A text is rejected if its cosine is under this share of what texts of its length usually have.
 REJECT_SHARE = 0.4
-_STEP = 2 << 20
+_STEP, _ROWS = 1 << 20, 256  # of one step: its vectors are rows * DIMENSIONS longs
 
 # bytes: letters as they are, bytes of other alphabets too, all else a space
 _CLASS = np.full(256, 32, np.uint8)
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
-        for batch in (s for b in batches for s in tx.steps(b, size=_STEP)):
+        for batch in (s for b in batches for s in tx.steps(b, size=_STEP, rows=_ROWS)):
             lettered = _lettered(batch.column("text"))
             counts = count_grams(batch.column("text"))[lettered]
             df += (counts > 0).sum(axis=0)
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, keep: list[Column], text_col: str =
     schema = f"{rows.drop('_text').schema.toDDL()}, lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in tx.steps(b, "_text", _STEP)):
+        for batch in (s for b in batches for s in tx.steps(b, "_text", _STEP, _ROWS)):
             lang, score, rejected = predict(batch.column("_text"), held.value)
             yield pa.record_batch([*(batch.column(k) for k in range(len(names))), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, "lang_pred", "score", "rejected"])
 

@@ -11,15 +11,17 @@ import xxhash
 
 #: Bytes of text that one step of an operator holds at a time.
 STEP_BYTES = 8 << 20
+#: Texts that one step holds: short ones take more memory in vectors than in bytes.
+STEP_ROWS = 4096
 
 
-def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of about ``size`` bytes of text (a longer text stands alone)."""
+def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and about ``size`` bytes of text (a longer text stands alone)."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths.astype(np.int64)) // size
-    cuts = np.flatnonzero(np.diff(part)) + 1
+    cuts = np.flatnonzero((np.diff(part) != 0) | (np.arange(1, len(part)) % rows == 0)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
 
