@@ -306,6 +306,20 @@ def test_a_tone_peaks_at_its_bin():
     assert (media.peaks(tone)[:, 1] == 32).all()
 
 
+def test_every_byte_reaches_a_frame(spark):
+    for n in (64, 256, 320, 448, 1024, 1088):
+        reached = np.zeros(n, np.float32)
+        for k in range(n):
+            one = np.full(n, 128, np.uint8)
+            one[k] = 129
+            reached[k] = (media.frames_of(one) * np.hanning(media.FRAME)).max()
+        assert reached.min() > 0.45
+    start = "".join(chr(97 + k * k % 23) for k in range(256))
+    texts = [start + end for end in ("a" * 64, "az" * 32, "azzq" * 16)]
+    found = {r.doc_id: tuple(r.fingerprint) for r in media.media_columns(frame(spark, list(enumerate(texts)))).collect()}
+    assert len(set(found.values())) == len(texts)  # texts that differ in their tail alone
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, "user", None), (1, 1, "assistant", ""), (2, 1, "assistant", "b\\<\\|x"), (2, 0, "assistant", "é\U0001f600"), (3, None, None, "<|"), (3, 0, "a\nb", "\\n\n"), (None, 0, "assistant", "z"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]

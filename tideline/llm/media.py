@@ -20,9 +20,10 @@ from tideline.llm import text as tx
 
 #: The payload is padded with zero bytes to a positive multiple of this.
 UNIT = 64
-FRAME, HOP, RATE = 256, 256, 8000
-#: Peaks are the largest bins of a frame; each pairs with the peaks of the next frames.
-REACH = 3
+#: Frames overlap by half: the window, which is zero at its ends, then weighs every sample in one of its two frames at least by half.
+FRAME, HOP, RATE = 256, 128, 8000
+#: Peaks are the largest bins of a frame; each pairs with the peaks of the next frames (of 768 samples).
+REACH = 6
 _BANDS = ((1, 16), (16, 48), (48, 129))
 
 
@@ -43,12 +44,15 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def frames_of(samples: np.ndarray) -> np.ndarray:
+    """All samples in overlapping frames, every sample in two: silence stands before the first and fills up the last."""
+    x = np.pad(samples.astype(np.float32) - 128, (HOP, HOP + -len(samples) % HOP))
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
 def peaks(samples: np.ndarray) -> np.ndarray:
     """The strongest bin of each band in each frame of the transform: (frames, bands)."""
-    x = samples.astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = frames_of(samples)
     out = []
     for a in range(0, len(frames), 4096):
         power = np.abs(np.fft.rfft(frames[a : a + 4096] * np.hanning(FRAME).astype(np.float32), axis=1))
@@ -74,7 +78,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null text is empty; an empty text is 64 zero bytes.  Equal texts give
     equal values; repeated rows and null ids stay as they are; an empty table
-    gives no rows.  Whole texts are used, in steps of bounded memory.
+    gives no rows.  Whole texts are used, to the last byte, in steps of bounded memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
