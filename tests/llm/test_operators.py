@@ -115,6 +115,12 @@ def test_language_probabilities_sum_to_one(spark):
     assert (10 ** logp[1::2]).sum() == pytest.approx(1.0)
 
 
+def test_language_model_uses_two_words_of_context(spark):
+    df = frame(spark, [(k, ("a x b", "c x d")[k % 2]) for k in range(20)])
+    got = {r.t: r.score for r in lm.score(frame(spark, [(1, "a x b"), (2, "a x d")]), lm.train(df), [F.col("text").alias("t")]).collect()}
+    assert got["a x b"] > got["a x d"] + 0.1  # one word of context gives both the same
+
+
 def test_language(spark, hard, empty, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     held = langid.fold("doc_id", 4) == 2

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from tideline.llm import store
 from tideline.llm import text as tx
 
-#: Longest n-grams.  Two keeps the model and its counting under four times the input on disk; see the README.
-ORDER = 2
+#: Longest n-grams: two words of context.  The disk that this takes stands in the README.
+ORDER = 3
 #: Hash buckets of the arrays: a power of two, one for so many bytes of input, so that each fits a task's memory.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 64, 1 << 16
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 64, 1 << 16
 #: A context's n-grams go to this many buckets by their last word, so that no context fills one.
 SALT = 8
-#: n-grams that a task counts before it sends them on.
-HELD = 3_000_000
+#: Words of n-grams that a task counts before it sends them on.
+HELD = 6_000_000
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 
@@ -58,18 +58,22 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _contexts(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 1 .. order - 1 the hash of the k tokens before each token (the begin mark before a text's first)."""
-    prev = np.empty_like(tokens)
-    prev[1:] = tokens[:-1]
-    prev[at[:-1]] = BEGIN
-    out = [prev]
-    for _ in range(2, order):
-        last = out[-1]
-        longer = np.empty_like(last)
-        longer[1:] = last[:-1]
-        longer[at[:-1]] = BEGIN
-        out.append(tx.combine(longer, prev))
+def _previous(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k = order - 1 .. 1 the token k places before each token (the begin mark before a text's first)."""
+    out = [tokens]
+    for _ in range(1, order):
+        before = np.empty_like(tokens)
+        before[1:] = out[0][:-1]
+        before[at[:-1]] = BEGIN
+        out.insert(0, before)
+    return out[:-1]
+
+
+def _sequence(tokens: list[np.ndarray]) -> np.ndarray:
+    """A hash of the tokens of each row, in order; of one token it is the token itself."""
+    out = tokens[0]
+    for t in tokens[1:]:
+        out = tx.combine(out, t)
     return out
 
 
@@ -78,42 +82,55 @@ def _bucket(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
     return (tx.mix(context + salt) % np.uint64(buckets)).astype(np.int64)
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    return zstandard.compress(b"".join(_encode(c) for c in columns), 1)
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of ``x``, all first ones before all second ones: small values then compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes()
 
 
-def _encode(c: np.ndarray) -> bytes:
-    """A column of hashes as its distinct values and their numbers; the order of rows is kept."""
-    values, number = np.unique(c, return_inverse=True)
-    kind = "<u2" if len(values) <= 1 << 16 else "<u4"
-    return np.array([len(values), len(c)], "<i8").tobytes() + values.astype("<u8").tobytes() + number.astype(kind).tobytes()
+def _pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Columns of hashes as numbers of their distinct values, rows sorted, and each number and value as its step from the one before."""
+    values, number = np.unique(np.concatenate(columns), return_inverse=True)
+    number = number.reshape(len(columns), -1)
+    order = np.lexsort(number[::-1])
+    step = np.diff(number[:, order].astype("<i4"), axis=1, prepend=np.int32(0))
+    sizes = np.array([len(values), len(order)], "<i8").tobytes()
+    parts = [_planes(np.diff(values, prepend=np.uint64(0))), *(_planes(d << 1 ^ d >> 31) for d in step), *(_planes(c.astype("<u8")) for c in counts[order].reshape(len(order), -1).T)]
+    return zstandard.compress(b"".join([sizes, *parts]), 1)
 
 
-def _unpack(raw: bytes, columns: int) -> list[np.ndarray]:
+def _unpack(raw: bytes, columns: int, sums: int) -> list[np.ndarray]:
     raw = zstandard.decompress(raw)
-    at, out = 0, []
+    n_values, n = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+    at = 16
+
+    def take(kind: str, rows: int) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize
+        out = np.ascontiguousarray(np.frombuffer(raw, np.uint8, rows * size, at).reshape(size, rows).T).view(kind)[:, 0]
+        at += rows * size
+        return out
+
+    values = np.cumsum(take("<u8", n_values), dtype=np.uint64)
+    out = []
     for _ in range(columns):
-        n_values, n = np.frombuffer(raw, "<i8", 2, at)
-        values = np.frombuffer(raw, "<u8", n_values, at + 16)
-        kind = np.dtype("<u2" if n_values <= 1 << 16 else "<u4")
-        out.append(values[np.frombuffer(raw, kind, n, at + 16 + 8 * n_values)])
-        at += 16 + 8 * int(n_values) + kind.itemsize * int(n)
-    return out
+        z = take("<i4", n)
+        out.append(values[np.cumsum((z >> 1 & 0x7FFFFFFF) ^ -(z & 1), dtype=np.int32)])
+    return [*out, np.stack([take("<u8", n).astype(np.int64) for _ in range(sums)], axis=1)]
 
 
 def _group(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows taken together, their counts added; sorted by a hash of the first two columns."""
+    """Equal rows taken together, their counts added; sorted by the hash of the row."""
     if not len(counts):
         return columns, counts
-    key = tx.combine(columns[0], columns[-1]) if len(columns) > 1 else columns[0]
-    order = np.argsort(key, kind="stable")
+    key = _sequence(columns)
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return [c[order][first] for c in columns], np.add.reduceat(counts[order], first)
+    return [c[order[first]] for c in columns], np.add.reduceat(counts[order], first)
 
 
 def _grams(rows: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Blobs of the n-grams (contexts from long to short, word, count) of each bucket, and of the words (bucket -1 - b)."""
+    """Blobs of the n-grams (words and count) of each bucket, and of the words (bucket -1 - b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[np.ndarray], np.ndarray]] = []
@@ -121,15 +138,14 @@ def _grams(rows: DataFrame, order: int, buckets: int) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             columns, counts = _group([np.concatenate(c) for c in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]))
-            yield from _send(columns, counts, _bucket(columns[0], columns[-1], buckets), 0)
+            yield from _send(columns, counts, _bucket(_sequence(columns[:-1]), columns[-1], buckets), 0)
             words, n = _group([columns[-1]], counts)
             yield from _send(words, n, (tx.mix(words[0]) % np.uint64(buckets)).astype(np.int64), buckets)
 
         for batch in (s for b in batches for s in tx.steps(b)):
             tokens, at = _tokens(batch.column("text"))
-            contexts = _contexts(tokens, at, order)
-            held.append(_group([*contexts[::-1], tokens], np.ones(len(tokens), np.int64)))
-            size += len(held[-1][1])
+            held.append(_group([*_previous(tokens, at, order), tokens], np.ones(len(tokens), np.int64)))
+            size += order * len(held[-1][1])
             if size > HELD:
                 yield from send()
                 held, size = [], 0
@@ -145,7 +161,7 @@ def _send(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, bas
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         rows = order[a:b]
-        raw = _pack([*(c[rows] for c in columns), counts[rows].astype(np.uint64)])
+        raw = _pack([c[rows] for c in columns], counts[rows])
         yield pa.record_batch([pa.array([base + int(bucket[rows[0]])], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "raw"])
 
 
@@ -155,10 +171,11 @@ def _buckets(docs: DataFrame) -> int:
     return min(max(1 << (size // BUCKET_BYTES).bit_length(), LEAST_BUCKETS), MOST_BUCKETS)
 
 
-def _merge(blobs: pa.ChunkedArray, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [_unpack(b.as_buffer().to_pybytes(), columns + 1) for b in blobs]
-    out = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return _group(out[:-1], out[-1].astype(np.int64))
+def _merge(blobs: pa.ChunkedArray, columns: int, sums: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    parts = [_unpack(b.as_buffer().to_pybytes(), columns, sums) for b in blobs]
+    *out, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    return _group(out, counts if sums > 1 else counts[:, 0])
 
 
 def _by_bucket(df: DataFrame, merge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -169,11 +186,9 @@ def _stats(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _context_stats(context: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def _context_stats(context: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Per context: its total, and how many of its n-grams count 1, 2, and 3 or more."""
-    values, at = np.unique(context, return_inverse=True)
-    cols = [np.bincount(at, w, len(values)).astype(np.int64) for w in (counts, counts == 1, counts == 2, counts >= 3)]
-    return [values], np.stack(cols, axis=1)
+    return _group(context, np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64))
 
 
 _OUT = "bucket int, raw binary, stats array<long>"
@@ -214,16 +229,13 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, buckets:
                 (words,), counts = _merge(group.column("raw"), 1)
                 _save(uri, "words", b - buckets, words, counts)
                 return _result([-1], [None], [[len(words), int(counts.sum())]])
-            columns, counts = _merge(group.column("raw"), n)  # n - 1 contexts from long to short, and the word
-            _save(uri, str(n), b, tx.combine(columns[0], columns[-1]), counts)
-            values, sums = _context_stats(columns[0], counts)
-            out = []
-            for k, part in enumerate(sums.T):
-                has = np.flatnonzero(part)
-                out += _sent([values[0][has], np.full(len(has), k, np.uint64)], part[has], (tx.mix(values[0][has]) % np.uint64(buckets)).astype(np.int64), 3 * buckets)
+            columns, counts = _merge(group.column("raw"), n)
+            _save(uri, str(n), b, _sequence(columns), counts)
+            values, sums = _context_stats(columns[:-1], counts)
+            out = _sent(values, sums, _word_bucket(_sequence(values), buckets), 3 * buckets)
             if n > 2:  # distinct left neighbours of the shorter n-gram
                 shorter, left = _group(columns[1:], np.ones(len(counts), np.int64))
-                out += _sent(shorter, left, _bucket(shorter[0], shorter[-1], buckets), 0)
+                out += _sent(shorter, left, _bucket(_sequence(shorter[:-1]), shorter[-1], buckets), 0)
             else:
                 words, left = _group([columns[-1]], np.ones(len(counts), np.int64))
                 out += _sent(words, left, (tx.mix(words[0]) % np.uint64(buckets)).astype(np.int64), 2 * buckets)
@@ -240,13 +252,11 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, buckets:
         contexts = made.where(F.col("bucket") >= 3 * buckets).select("bucket", "raw")
 
         def context(group: pa.Table) -> pa.Table:
-            (values, kind), counts = _merge(group.column("raw"), 2)
-            keys, at = np.unique(values, return_inverse=True)
-            table = np.zeros((len(keys), 4), "<i8")
-            table[at, kind.astype(np.int64)] = counts
+            values, sums = _merge(group.column("raw"), n - 1, 4)
+            keys = _sequence(values)
             b = group.column("bucket")[0].as_py() - 3 * buckets
             store.write_array(f"{uri}/context-{n}.{b}.key", keys)
-            store.write_array(f"{uri}/context-{n}.{b}.sum", table)
+            store.write_array(f"{uri}/context-{n}.{b}.sum", _narrow(sums))
             return pa.table({"n": pa.array([len(keys)], pa.int64())})
 
         _by_bucket(contexts, context, "n long").agg(F.sum("n")).collect()
@@ -268,7 +278,12 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, buckets:
 def _save(uri: str, name: str, bucket: int, keys: np.ndarray, counts: np.ndarray) -> None:
     order = np.argsort(keys, kind="stable")
     store.write_array(f"{uri}/{name}.{bucket}.key", keys[order])
-    store.write_array(f"{uri}/{name}.{bucket}.count", counts[order].astype("<u4"))
+    store.write_array(f"{uri}/{name}.{bucket}.count", _narrow(counts[order]))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` in the smallest type that holds all its values; readers tell it by the array's size."""
+    return x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if x.max(initial=0) <= np.iinfo(t).max))
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -295,7 +310,7 @@ class _Arrays:
                 self.open[name] = np.empty(0, dtype)
         return self.open[name]
 
-    def look_up(self, name: str, keys: np.ndarray, bucket: np.ndarray, column: str = "count", dtype: str = "<u4", width: int = 1) -> np.ndarray:
+    def look_up(self, name: str, keys: np.ndarray, bucket: np.ndarray, column: str = "count", width: int = 1) -> np.ndarray:
         """The values of ``keys`` (distinct and in bucket order or not); zero where there is none."""
         out = np.zeros((len(keys), width), np.int64)
         order = np.lexsort((keys, bucket))
@@ -307,7 +322,8 @@ class _Arrays:
                 continue
             at = np.minimum(np.searchsorted(held, keys[rows]), len(held) - 1)
             hit = held[at] == keys[rows]
-            values = self._map(f"{name}.{bucket[rows[0]]}.{column}", dtype).reshape(-1, width)
+            values = self._map(f"{name}.{bucket[rows[0]]}.{column}", "u1")
+            values = values.view(f"<u{len(values) // (len(held) * width)}").reshape(-1, width)
             out[rows[hit]] = values[at[hit]]
         return out if width > 1 else out[:, 0]
 
@@ -328,14 +344,14 @@ def score_tokens(tokens: np.ndarray, at: np.ndarray, arrays: _Arrays) -> tuple[n
     used = _used(left, d)
     reserve = 1.0 - m.mass
     p = (used / total + reserve / (m.types + 1))[number]
-    contexts = _contexts(tokens, at, m.order)
+    previous = _previous(tokens, at, m.order)
     for n in range(2, m.order + 1):
-        context = contexts[n - 2]
+        context = _sequence(previous[m.order - n :])
         key = tx.combine(context, tokens)
         keys, first, back = np.unique(key, return_index=True, return_inverse=True)
         c = arrays.look_up(str(n), keys, _bucket(context[first], tokens[first], m.buckets))[back]
         heads, of = np.unique(context, return_inverse=True)
-        sums = arrays.look_up(f"context-{n}", heads, _word_bucket(heads, m.buckets), "sum", "<i8", 4)[of]
+        sums = arrays.look_up(f"context-{n}", heads, _word_bucket(heads, m.buckets), "sum", 4)[of]
         d = m.discounts[n]
         seen = sums[:, 0] > 0
         whole = np.maximum(sums[:, 0], 1)
