@@ -244,6 +244,16 @@ def test_personal_data_terms(spark, hard, empty):
     assert pii.sanitise(empty).count() == 0
 
 
+def test_personal_data_terms_of_whole_documents(spark):
+    mail = "secret.person@corp.example"
+    far = [(k, f"{mail} {prose(k, 30)} ac_77x {prose(k + 50, 5)}") for k in range(6)]  # thirty words away, with digits
+    twice = [(100 + k, f"call +49 30 12345678 {prose(k + 200, 40)} q7") for k in range(2)]  # an entity of two documents
+    rows = far + twice + [(k, prose(k, 40)) for k in range(1000, 2000)]
+    out = {r.doc_id: r for r in pii.find_spans(frame(spark, rows), [F.col("doc_id")], redact=True).collect()}
+    assert all("ac_77x" not in out[k].clean for k, _ in far) and all("q7" not in out[k].clean for k, _ in twice)
+    assert all(out[k].clean == t for k, t in rows if k >= 1000)
+
+
 def test_packing(spark, hard, empty):
     from tokenizers import Tokenizer
 

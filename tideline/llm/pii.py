@@ -1,15 +1,17 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
-Pattern spans (email, ip, card, phone) are the protected entities.  Words near
-them are candidates; corpus co-occurrence then tells how much of an entity's
-information a word carries.  Words over the disclosure threshold are found in
+Pattern spans (email, ip, card, phone) are the protected entities.  All words of
+their documents are candidates; corpus co-occurrence then tells how much of an
+entity's information a word carries.  Words over the disclosure threshold are found in
 all texts and, like the entities, generalised or removed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from tideline.llm import text as tx
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on either side of an entity that are candidates.
-REACH = 6
-#: A candidate must stand near its entity in so many different contexts, so that copies of one text are one piece of evidence.
-MIN_CONTEXTS = 3
+#: Chance that words which only meet their entities by accident may have of one find among all pairs (Bonferroni).
+CHANCE = 0.05
+#: Rows of evidence that a task holds at a time.
+HELD = 1 << 19
 #: Share of an entity's information, log2(1 / P(entity)), that a word may disclose: PMI(entity, word) at most this share.
 DISCLOSURE = 0.9
 #: Bits of the filter of candidate words that every worker gets: a fixed size, whatever the corpus; its false hits only cost time.
@@ -38,7 +40,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+_WORD = re.compile(r"\w+")
 
 
 def luhn(digits: str) -> bool:
@@ -94,17 +96,22 @@ def entity(kind: str, said: str) -> int:
     return _hash(kind + ":" + (said.lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", said)))
 
 
-def _evidence(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[int, int, int]]:
-    """(entity, term, context) of the words near each span; the context is hashed from its neighbours."""
-    out = set()
-    for kind, a, b in spans:
-        e = entity(kind, text[a:b])
-        before = [m for m in _WORD.finditer(text, max(0, a - 40 * REACH), a)][-REACH:]
-        after = [m for m in _WORD.finditer(text, b, b + 40 * REACH)][:REACH]
-        near = [m[0].lower() for m in before + after if not any(x < m.end() and m.start() < y for _, x, y in spans)]
-        context = _hash(" ".join(near))
-        out |= {(e, _hash(w), context) for w in near}
-    return out
+def _evidence(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, int]:
+    """Hashes of the distinct words outside all spans, and the document's context: the least hash of three words in a row.
+
+    Copies of a text have one context, and near copies mostly have.
+    """
+    starts, ends = [a for _, a, _ in spans], list(accumulate((b for _, _, b in spans), max))
+    known: dict[str, int] = {}
+    words = []
+    for m in _WORD.finditer(text):
+        i = bisect_left(starts, m.end()) - 1
+        if i < 0 or ends[i] <= m.start():
+            w = m[0].lower()
+            words.append(known[w] if w in known else known.setdefault(w, _hash(w)))
+    h = np.array([0, 0, *words], np.int64).view(np.uint64)
+    runs = tx.combine(tx.combine(h[:-2], h[1:-1]), h[2:])[min(2, max(len(words) - 1, 0)) :]
+    return np.fromiter(known.values(), np.int64, len(known)), int(runs.min().view(np.int64)) if len(runs) else 0
 
 
 def _has_digit_or_at(texts: pa.Array) -> np.ndarray:
@@ -112,19 +119,21 @@ def _has_digit_or_at(texts: pa.Array) -> np.ndarray:
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """entity, term and context of every document; term and context are null in the row that counts the entity's documents."""
-    names = ["entity", "term", "context"]
+    """entity, term and context of every document that holds an entity; term is null in the row that counts the entity's documents."""
+    schema = pa.schema([(k, pa.int64()) for k in ("entity", "term", "context")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in tx.steps(b)):
             texts = batch.column("text").filter(pa.array(_has_digit_or_at(batch.column("text"))))
-            out: list[tuple] = []
             for text in texts.to_pylist():
                 if spans := base_spans(text):
-                    out += {(entity(k, text[a:b]), None, None) for k, a, b in spans}
-                    out += _evidence(text, spans)
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+                    terms, context = _evidence(text, spans)
+                    entities = sorted({entity(k, text[a:b]) for k, a, b in spans})
+                    size = max(1, HELD // (len(terms) + 1))
+                    for part in (entities[i : i + size] for i in range(0, len(entities), size)):
+                        n = len(part) * (len(terms) + 1)
+                        term = pa.array(np.tile(np.append(terms, 0), len(part)), mask=np.tile(np.arange(len(terms) + 1) == len(terms), len(part)))
+                        yield pa.record_batch([pa.array(np.repeat(np.array(part, np.int64), len(terms) + 1)), term, pa.array(np.full(n, context, np.int64))], schema=schema)
 
     return rows.mapInArrow(run, "entity long, term long, context long")
 
@@ -138,7 +147,7 @@ def _term_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in (s for b in batches for s in tx.steps(b)):
             counts: dict[int, int] = {}
             for text in batch.column("text").to_pylist():
-                for h in {_hash(w) for w in set(_WORD.findall((text or "").lower()))}:
+                for h in {_hash(w) for w in {x.lower() for x in set(_WORD.findall(text or ""))}}:
                     if held.value[h % FILTER_BITS >> 3] >> (h % FILTER_BITS & 7) & 1:
                         counts[h] = counts.get(h, 0) + 1
             if counts:
@@ -165,20 +174,30 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 def disclosing_terms(docs: DataFrame, owner: str = "op") -> DataFrame:
     """term (hash), entity and disclosure of each word that gives an entity away.
 
-    Counts cover every document.  A word discloses an entity if it stands near it
-    in at least MIN_CONTEXTS different contexts and PMI(entity, word) is at least
-    DISCLOSURE times the entity's information.
+    Counts cover every document.  A word discloses an entity if PMI(entity, word)
+    is at least DISCLOSURE times the entity's information, and if they meet in
+    more contexts than by accident: the chance of so many, bounded as Hoeffding
+    does it, times the number of all pairs is at most CHANCE.
     """
     rows = docs.select(F.col("text"))
-    found = store.table(evidence(rows).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")), "evidence", owner)
-    pairs = found.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = store.table(pairs, "pairs", owner)
+    found = store.table(evidence(rows).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_both")), "evidence", owner)
+    entities = found.where("term is null").select("entity", F.col("contexts").alias("of"), F.col("n_both").alias("n_entity"))
+    pairs = found.where("term is not null")
+    n_pairs, total = pairs.count(), float(docs.count())
+
+    def by_accident(n_term):
+        """log of the chance that ``contexts`` or more of ``of`` draws hold a word of ``n_term`` of all documents."""
+        q, p = F.col("contexts") / F.col("of"), n_term / F.lit(total)
+        rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+        return F.when(q > p, -F.col("of") * (q * F.log(q / p) + rest)).otherwise(0.0)
+
+    limit = float(np.log(CHANCE / max(n_pairs, 1)))
+    # a word stands in at least the documents where it meets the entity: pairs that fail even so are out before words are counted
+    pairs = store.table(pairs.join(entities, "entity").where(by_accident(F.col("n_both")) <= limit), "pairs", owner)
     schema = "term long, entity long, disclosure double"
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    entities = found.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    total = float(docs.count())
-    both = pairs.join(_term_counts(rows, pairs), "term").join(entities, "entity")
+    both = pairs.join(_term_counts(rows, pairs), "term").where(by_accident(F.col("n_term")) <= limit)
     together = F.least("n_both", "n_term", "n_entity")
     pmi = F.log2(together * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
     information = F.log2(F.lit(total) / F.col("n_entity"))
