@@ -91,4 +91,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prints)))
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array(back, pa.binary()), lists], ["doc_id", "n_bytes", "media", "payload", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, fingerprint array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(tx.in_batches, run, "doc_id long, n_bytes long, media binary, payload binary, fingerprint array<long>")

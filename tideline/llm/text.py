@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one step of an operator holds at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 #: Texts that one step holds: short ones take more memory in vectors than in bytes.
-STEP_ROWS = 4096
+STEP_ROWS = 2048
+#: Bytes of an Arrow batch between the JVM and Python: both sides hold one for each task.
+BATCH_BYTES = "8m"
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def free() -> None:
+    """Give memory that nothing uses back to the system: workers live on, and the next stage's need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``df`` through ``run`` in Arrow batches of bounded bytes; a task's memory is given back at its end."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, "67108864b") == "67108864b":  # as Spark has it; a user's own bound stays
+        df.sparkSession.conf.set(bound, BATCH_BYTES)
+
+    def freed(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return df.mapInArrow(freed, schema)
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
