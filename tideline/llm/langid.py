@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,11 @@ ORDERS = (1, 2, 3)
 #: The classifier is fitted on at most this many labelled rows in all, the same number from each language, taken by hash of the id.
 SAMPLE_ROWS = 4000
 CENTROIDS = 4
-SALTS = 64
-#: A text is rejected if its cosine is under this share of what texts of its length usually have.
-REJECT_SHARE = 0.4
+#: A text is rejected if its cosine is under this share of the median of texts of its length, and under this share of what
+#: all but one in a hundred of them have.
+REJECT_SHARE, REJECT_LEAST = 0.4, 0.8
+#: Words of the spans cut out of one in so many sampled texts, from which is learned what short texts have.
+SPANS, SPAN_OF = (1, 2, 3, 5, 8), 4
 _STEP, _ROWS = 1 << 20, 256  # of one step: its vectors are rows * DIMENSIONS longs
 
 # bytes: letters as they are, bytes of other alphabets too, all else a space
@@ -41,7 +44,7 @@ class Model(NamedTuple):
     idf: np.ndarray
     centroids: np.ndarray  # (n, DIMENSIONS), normalised
     owner: np.ndarray  # language number of each centroid
-    usual: np.ndarray  # usual cosine by log2 of the number of letters
+    least: np.ndarray  # cosine under which a text is rejected, by log2 of its number of n-grams
 
 
 def count_grams(texts: pa.Array) -> np.ndarray:
@@ -99,14 +102,16 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """Learn from the rows where ``train`` holds, text has a letter and the language is not null.
 
     Document frequencies cover all of these rows; the centroids a bounded sample.
+    With no such row the model knows no language.
     """
     labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    languages = sorted(r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).select("lang").collect())
+    languages = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()}
     each = max(1, min(1000, SAMPLE_ROWS // max(1, len(languages))))
-    # the least hashes of each language: first of every salt, so that a language of a third of all rows is no single task
-    ids = labelled.select("id", "lang", F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).alias("salt"))
-    for by in (["lang", "salt"], ["lang"]):
-        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where(F.col("k") <= each)
+    # the least hashes of each language; those under a bound that leaves a few more than wanted, so that no task sorts a language
+    bounds = docs.sparkSession.createDataFrame([(k, (each + 5 * each**0.5 + 20) / n) for k, n in languages.items()], "lang string, bound double")  # at most SAMPLE_ROWS rows
+    h = F.shiftrightunsigned(F.xxhash64("id"), 11)
+    few = labelled.select("id", "lang", h.alias("h")).join(F.broadcast(bounds), "lang").where(F.col("h") / float(1 << 53) < F.col("bound"))
+    ids = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= each)
     chosen = {(r.id, r.lang) for r in ids.select("id", "lang").limit(each * max(1, len(languages))).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +124,10 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
             keys = [k for k, ok in zip(zip(*(batch.column(c).to_pylist() for c in ("id", "lang")), strict=True), lettered, strict=True) if ok]
             taken = [k for k, key in enumerate(keys) if key in chosen]
             if taken:
-                yield _rows([keys[k][1] for k in taken], [np.minimum(counts[k], 65535).astype("<u2").tobytes() for k in taken], [1] * len(taken))
+                texts = batch.column("text").filter(pa.array(lettered)).take(pa.array(taken))
+                spans = count_grams(pa.array([s for t in texts.to_pylist() if (s := _span(t))], pa.string()))
+                for which, of in ((1, counts[taken]), (2, spans)):
+                    yield _rows([keys[k][1] for k in taken] if which == 1 else [""] * len(of), [x.tobytes() for x in np.minimum(of, 65535).astype("<u2")], [which] * len(of))
         yield _rows([None], [df.astype("<i8").tobytes()], [n])
 
     def _rows(lang: list, raw: list, n: list) -> pa.RecordBatch:
@@ -133,33 +141,46 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         yield _rows([None], [df.tobytes()], [n])
 
     schema = "lang string, raw binary, n long"
-    parts = store.table(labelled.mapInArrow(run, schema), "language-parts", owner)
-    df, n, by_lang = np.zeros(DIMENSIONS, np.int64), 0, {}
-    for r in parts.where("lang is null").repartition(8).mapInArrow(add, schema).collect():  # one vector of each task
+    parts = store.table(tx.in_batches(labelled, run, schema), "language-parts", owner)
+    df, n, by_lang, short = np.zeros(DIMENSIONS, np.int64), 0, {}, []
+    for r in tx.in_batches(parts.where("lang is null").repartition(8), add, schema).collect():  # one vector of each task
         df, n = df + np.frombuffer(r.raw, "<i8"), n + r.n
     for r in parts.where("lang is not null").toLocalIterator():  # the bounded sample
-        if len(by_lang.setdefault(r.lang, [])) < each:
+        if r.n == 2:
+            short.append(np.frombuffer(r.raw, "<u2"))
+        elif len(by_lang.setdefault(r.lang, [])) < each:
             by_lang[r.lang].append(np.frombuffer(r.raw, "<u2"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     idf[df >= 0.999 * max(n, 1)] *= 0.25  # in nearly every text: says little
     names, centroids, owner, samples = sorted(by_lang), [], [], []
     for j, name in enumerate(names):
-        counts = np.stack(by_lang[name]).astype(np.int64)
+        counts = np.stack(by_lang.pop(name))
         c = cluster(vectors(counts, idf), CENTROIDS)
         centroids.append(c)
         owner += [j] * len(c)
         samples.append(counts)
     if not names:
         return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(32))
-    centroids, counts = np.concatenate(centroids).astype(np.float32), np.concatenate(samples)
-    best = (vectors(counts, idf) @ centroids.T).max(axis=1)
-    classes = _length_class(counts)
-    usual = np.array([np.median(best[classes == c]) if (classes == c).sum() >= 8 else np.nan for c in range(32)])
-    known = np.flatnonzero(~np.isnan(usual))
-    usual = np.interp(np.arange(32), known, usual[known]) if len(known) else np.full(32, np.median(best))
-    if len(known):  # fewer letters than any class seen: nothing to expect
-        usual[: known[0]] = 0
-    return Model(names, idf, centroids, np.array(owner), usual)
+    centroids, counts = np.concatenate(centroids).astype(np.float32), [*samples, *([np.stack(short)] if short else [])]
+    best = np.concatenate([(vectors(c[a : a + 256], idf) @ centroids.T).max(axis=1) for c in counts for a in range(0, len(c), 256)])
+    classes = np.concatenate([_length_class(c) for c in counts])
+    of = [best[classes == c] for c in range(32)]
+    least = np.array([min(REJECT_SHARE * np.median(x), REJECT_LEAST * np.quantile(x, 0.01)) if len(x) >= 8 else np.nan for x in of])
+    known = np.flatnonzero(~np.isnan(least))
+    least = np.interp(np.arange(32), known, least[known]) if len(known) else np.zeros(32)
+    if len(known):  # fewer letters than the shortest spans have: nothing to expect
+        least[: known[0]] = 0
+    return Model(names, idf, centroids, np.array(owner), least)
+
+
+def _span(text: str) -> str | None:
+    """A few words from somewhere in one of SPAN_OF texts; which, how many and where follows from the text."""
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    if h % SPAN_OF:
+        return None
+    words, n = text.split(), SPANS[h // SPAN_OF % len(SPANS)]
+    at = h // 64 % max(1, len(words) - n + 1)
+    return " ".join(words[at : at + n])
 
 
 def _lettered(texts: pa.Array) -> np.ndarray:
@@ -176,7 +197,7 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nd
     near = cosine.argmax(axis=1)
     score = np.where(lettered, cosine[np.arange(len(near)), near].clip(0, 1), 0.0).astype(np.float64)
     names = [model.languages[model.owner[k]] if ok else "und" for k, ok in zip(near, lettered, strict=True)]
-    return names, score, ~lettered | (score < REJECT_SHARE * model.usual[_length_class(counts)])
+    return names, score, ~lettered | (score < model.least[_length_class(counts)])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
@@ -197,11 +218,15 @@ def identify(docs: DataFrame, model: Model, keep: list[Column], text_col: str =
             lang, score, rejected = predict(batch.column("_text"), held.value)
             yield pa.record_batch([*(batch.column(k) for k in range(len(names))), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, schema)
+    return tx.in_batches(rows, run, schema)
 
 
 def keep_recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the texts that ``identify`` rejects; all columns stay, whatever their names."""
+    """``docs`` without the texts that ``identify`` rejects; all columns stay, whatever their names.
+
+    Null and empty texts and those without a letter go; ids do not matter and
+    repeated rows are judged alike; an empty table stays empty.
+    """
     names = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     found = identify(plain, model, [F.col(c) for c in plain.columns], f"c{names.index(text_col)}")
