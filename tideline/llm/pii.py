@@ -1,17 +1,20 @@
-"""Personal data: pattern spans, and terms that give protected entities away.
+"""Personal data: pattern spans, secrets, and terms that give protected entities away.
 
-Pattern spans (email, ip, card, phone) are the protected entities.  All words of
-their documents are candidates; corpus co-occurrence then tells how much of an
-entity's information a word carries.  Words over the disclosure threshold are found in
-all texts and, like the entities, generalised or removed.
+Pattern spans (email, ip, card, phone) and secrets (runs of letters and digits
+that carry too much information to be a word) are the protected entities.  All
+words of their documents are candidates; corpus co-occurrence then tells how much
+of an entity's information a word carries.  Words over the disclosure threshold
+are found in all texts and, like the entities, generalised or removed.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,11 @@ from tideline.llm import store
 from tideline.llm import text as tx
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET, TERM = "secret", "term"
+_ORDER = {k: n for n, k in enumerate((*KINDS, SECRET, TERM))}
+#: A run of letters and digits is a secret if its characters carry so many bits (by their frequencies in it), so many
+#: each, and at least this share of them are letters, and digits.
+SECRET_BITS, SECRET_BITS_EACH, SECRET_SHARE = 56, 2.5, 1 / 8
 #: Chance that words which only meet their entities by accident may have of one find among all pairs (Bonferroni).
 CHANCE = 0.05
 #: Rows of evidence that a task holds at a time.
@@ -33,6 +40,8 @@ HELD = 1 << 19
 DISCLOSURE = 0.9
 #: Bits of the filter of candidate words that every worker gets: a fixed size, whatever the corpus; its false hits only cost time.
 FILTER_BITS = 1 << 23
+#: Disclosing terms of one memory-mapped array.
+ARRAY_TERMS = 1 << 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,6 +49,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_RUN = re.compile(r"[A-Za-z0-9]{16,}")
 _WORD = re.compile(r"\w+")
 
 
@@ -84,7 +94,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                 out.append(("phone", *m.span()))
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+    return _sorted(out)
+
+
+def _sorted(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return sorted(spans, key=lambda s: (s[1], _ORDER[s[0]]))
+
+
+def is_secret(run: str) -> bool:
+    n, digits = len(run), sum(c.isdigit() for c in run)
+    bits = -sum(k * log2(k / n) for k in Counter(run).values())
+    return min(digits, n - digits) >= SECRET_SHARE * n and bits >= max(SECRET_BITS, SECRET_BITS_EACH * n)
+
+
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    return [(SECRET, *m.span()) for m in _RUN.finditer(text) if is_secret(m[0])]
 
 
 def _hash(x: str) -> int:
@@ -93,7 +117,7 @@ def _hash(x: str) -> int:
 
 def entity(kind: str, said: str) -> int:
     """One number for all spellings of an entity."""
-    return _hash(kind + ":" + (said.lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", said)))
+    return _hash(kind + ":" + (said.lower() if kind == "email" else said if kind == SECRET else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", said)))
 
 
 def _evidence(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, int]:
@@ -126,7 +150,7 @@ def evidence(rows: DataFrame) -> DataFrame:
         for batch in (s for b in batches for s in tx.steps(b)):
             texts = batch.column("text").filter(pa.array(_has_digit_or_at(batch.column("text"))))
             for text in texts.to_pylist():
-                if spans := base_spans(text):
+                if spans := _sorted(base_spans(text) + secret_spans(text)):
                     terms, context = _evidence(text, spans)
                     entities = sorted({entity(k, text[a:b]) for k, a, b in spans})
                     size = max(1, HELD // (len(terms) + 1))
@@ -135,7 +159,25 @@ def evidence(rows: DataFrame) -> DataFrame:
                         term = pa.array(np.tile(np.append(terms, 0), len(part)), mask=np.tile(np.arange(len(terms) + 1) == len(terms), len(part)))
                         yield pa.record_batch([pa.array(np.repeat(np.array(part, np.int64), len(terms) + 1)), term, pa.array(np.full(n, context, np.int64))], schema=schema)
 
-    return rows.mapInArrow(run, "entity long, term long, context long")
+    return tx.in_batches(rows, run, "entity long, term long, context long")
+
+
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words in order: the hash, and the number of the text.
+
+    Words never span white space, so each distinct piece between it is looked through once.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    found = [[_hash(w.lower()) for w in _WORD.findall(piece)] for piece in coded.dictionary.to_pylist()]
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter((h for hs in found for h in hs), np.int64, int(size.sum()))
+    n = size[codes]
+    text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    first = (np.cumsum(size) - size)[codes]
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return flat[at], np.repeat(text, n)
 
 
 def _term_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,15 +187,17 @@ def _term_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in tx.steps(b)):
-            counts: dict[int, int] = {}
-            for text in batch.column("text").to_pylist():
-                for h in {_hash(w) for w in {x.lower() for x in set(_WORD.findall(text or ""))}}:
-                    if held.value[h % FILTER_BITS >> 3] >> (h % FILTER_BITS & 7) & 1:
-                        counts[h] = counts.get(h, 0) + 1
-            if counts:
-                yield pa.record_batch([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+            h, text = _words_of(batch.column("text"))
+            known = held.value[h % FILTER_BITS >> 3] >> (h & 7).astype(np.uint8) & 1 > 0
+            h, text = h[known], text[known]
+            order = np.lexsort((text, h))
+            h, text = h[order], text[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            terms, n = np.unique(h[new], return_counts=True)
+            yield pa.record_batch([pa.array(terms), pa.array(n.astype(np.int64))], ["term", "n"])
 
-    return rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return tx.in_batches(rows, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
@@ -166,7 +210,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in wanted.select("term").distinct().coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in tx.in_batches(wanted.select("term").distinct().coalesce(16), run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -206,65 +250,77 @@ def disclosing_terms(docs: DataFrame, owner: str = "op") -> DataFrame:
 
 
 def find_spans(docs: DataFrame, keep: list, text_col: str = "text", owner: str = "op", redact: bool = False) -> DataFrame:
-    """``keep`` with n_email, n_ip, n_card, n_phone, base and spans for each document.
+    """``keep`` with n_email, n_ip, n_card, n_phone, n_secret, n_found (all spans), base and spans for each document.
 
     ``base`` and ``spans`` are `kind:start:end` joined by commas, by start and
-    then kind (``term`` last), in code points, the end exclusive.  With
+    then kind (``secret`` and ``term`` last), in code points, the end exclusive.  With
     ``redact``, ``clean`` is the text with every span replaced by its kind.  A
     null text is empty and has no span (its clean text stays null); ids, extra
     columns and repeated rows stay as they are; an empty table gives no rows.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     uri = store.new_path(docs.sparkSession, "terms.u8", owner)
-    terms = disclosing_terms(texts, owner).select("term").distinct()
-    n_terms = _write_sorted(terms, uri)
+    terms = store.table(disclosing_terms(texts, owner).select("term").distinct(), "terms", owner)
+    parts = _write_sorted(terms, uri)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     names = rows.columns[:-1]
-    more = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans", *(["clean"] if redact else [])]
-    schema = ", ".join([rows.drop("_text").schema.toDDL(), *(f"{k} long" for k in more[:4]), *(f"{k} string" for k in more[4:])])
+    counted = [*(f"n_{k}" for k in (*KINDS, SECRET)), "n_found"]
+    more = [*counted, "base", "spans", *(["clean"] if redact else [])]
+    schema = ", ".join([rows.drop("_text").schema.toDDL(), *(f"{k} {'long' if k in counted else 'string'}" for k in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [store.map_array(f"{uri}/{k}", "<i8") for k in range(n_terms)]
+        known = [store.map_array(f"{uri}/{k}", "<i8") for k in range(parts)]
         for batch in (s for b in batches for s in tx.steps(b, "_text")):
-            digits = _has_digit_or_at(batch.column("_text"))
+            texts = batch.column("_text")
+            digits, said = _has_digit_or_at(texts), np.zeros(len(texts), bool)
+            if known:
+                h, text = _words_of(texts)
+                said[text[_known(h, known)]] = True
             out = []
-            for text, look in zip(batch.column("_text").to_pylist(), digits, strict=True):
+            for text, look, told in zip(texts.to_pylist(), digits, said, strict=True):
                 base = base_spans(text) if look else []
-                spans = base
-                if text and known:
-                    spans = sorted(base + _terms(text, known), key=lambda s: (s[1], (*KINDS, TERM).index(s[0])))
-                count = [sum(s[0] == k for s in base) for k in KINDS]
-                out.append((*count, _joined(base), _joined(spans), *([_redacted(text, spans)] if redact else [])))
-            kinds = [pa.int64()] * 4 + [pa.string()] * (len(more) - 4)
+                spans = _sorted(base + secret_spans(text)) if look else base
+                if told:
+                    spans = _sorted(spans + _terms(text, known))
+                count = [sum(s[0] == k for s in spans) for k in (*KINDS, SECRET)]
+                out.append((*count, len(spans), _joined(base), _joined(spans), *([_redacted(text, spans)] if redact else [])))
+            kinds = [pa.int64()] * len(counted) + [pa.string()] * (len(more) - len(counted))
             yield pa.record_batch([*(batch.column(k) for k in range(len(names))), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [*names, *more])
 
-    return rows.mapInArrow(run, schema)
+    return tx.in_batches(rows, run, schema)
 
 
 def _write_sorted(terms: DataFrame, uri: str) -> int:
-    """The hashes of ``terms`` as sorted arrays in files of the shared folder; their number."""
-    from pyspark import TaskContext
+    """The hashes of ``terms`` as sorted arrays of about ARRAY_TERMS in the shared folder; their number."""
+    parts = -(-terms.count() // ARRAY_TERMS)
+    if not parts:
+        return 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = [b.column("term").to_numpy() for b in batches]
-        store.write_array(f"{uri}/{TaskContext.get().partitionId()}", np.sort(np.concatenate(values or [np.empty(0, "<i8")])))
-        yield pa.record_batch([pa.array([sum(map(len, values))], pa.int64())], ["n"])
+    def write(group: pa.Table) -> pa.Table:
+        values = np.sort(group.column("term").to_numpy())
+        store.write_array(f"{uri}/{values[0] % parts}", values)
+        return pa.table({"n": pa.array([len(values)], pa.int64())})
 
-    if terms.isEmpty():
-        return 0
-    return terms.repartition(8, "term").mapInArrow(run, "n long").count()
+    for k in range(parts):  # an array that gets no term is empty
+        store.write_array(f"{uri}/{k}", np.empty(0, "<i8"))
+    terms.select("term", F.pmod("term", F.lit(parts)).alias("part")).groupBy("part").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return parts
+
+
+def _known(h: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """Which hashes are disclosing terms."""
+    hit = np.zeros(len(h), bool)
+    for part, values in enumerate(known):
+        mine = np.flatnonzero(h % len(known) == part)
+        if len(values) and len(mine):
+            hit[mine] = values[np.minimum(np.searchsorted(values, h[mine]), len(values) - 1)] == h[mine]
+    return hit
 
 
 def _terms(text: str, known: list[np.ndarray]) -> list[tuple[str, int, int]]:
     found = list(_WORD.finditer(text))
-    if not found:
-        return []
     h = np.fromiter((_hash(m[0].lower()) for m in found), np.int64, len(found))
-    hit = np.zeros(len(h), bool)
-    for k in known:
-        at = np.searchsorted(k, h)
-        hit |= (at < len(k)) & (k[np.minimum(at, len(k) - 1)] == h) if len(k) else False
-    return [(TERM, *found[i].span()) for i in np.flatnonzero(hit)]
+    return [(TERM, *found[i].span()) for i in np.flatnonzero(_known(h, known))]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -284,7 +340,11 @@ def _redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", owner: str = "op") -> DataFrame:
-    """``docs`` with personal data and disclosing terms out of the text; an ``n_chars`` column follows it."""
+    """``docs`` with personal data, secrets and disclosing terms out of the text; an ``n_chars`` column follows it.
+
+    Every row stays, repeated ones too; null and empty texts stay as they are;
+    other columns, whatever their names, are untouched; an empty table stays empty.
+    """
     names = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     keep = [F.col(f"c{k}") for k, name in enumerate(names) if name != text_col]
