@@ -16,8 +16,8 @@ from tideline.llm import store
 WIDTH = 5
 #: Percent of an item's distinct shingles that a contaminated document holds.
 CONTAINMENT = 75
-#: Items go in blocks of about so many sketch values (12 bytes each and an item id), each block small enough to broadcast.
-BLOCK_VALUES = 200_000
+#: Up to so many sketch values (28 bytes each) are broadcast to the documents' shingles; beyond, they meet by one shuffle.
+BROADCAST_VALUES = 500_000
 #: Up to so many candidate ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -28,17 +28,22 @@ def words(text: Column) -> Column:
     return F.when(bare != "", F.split(bare, "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def _starts(w: Column) -> Column:
-    """Positions of the shingles; with fewer words than WIDTH there is one, at 0."""
-    return F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(w) - WIDTH, F.lit(0))))
+def _starts(w: Column, width: int) -> Column:
+    """Positions of the shingles; with fewer words than WIDTH there is one, at 0, with fewer than another width none."""
+    none = F.size(w) < (1 if width == WIDTH else width)
+    return F.when(none, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))))
 
 
-def shingle_hashes(w: Column) -> Column:
-    return F.transform(_starts(w), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH))))
+def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
+    """Words beyond the end are null, which leaves the hash as it is."""
+    return F.transform(_starts(w, width), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))
 
 
-def shingle_texts(w: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(w), lambda i: F.array_join(F.slice(w, i + 1, F.lit(WIDTH)), " ")))
+def shingle_texts(w: Column, widths: tuple[int, ...] = (WIDTH,)) -> Column:
+    def of(width: int) -> Column:
+        return F.transform(_starts(w, width), lambda i: F.array_join(F.slice(w, i + 1, F.lit(width)), " "))
+
+    return F.array_distinct(F.concat(*map(of, widths)))
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -52,7 +57,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Pairs of a document and an item it contains.
 
     Returns doc_id, item_id, n_item (distinct shingles of five words; an item of
-    fewer words is one shingle, which only a text of just these words holds),
+    fewer words is one shingle, found wherever a text has these words in a row),
     n_shared and containment, for every pair with 100 * n_shared >= 75 * n_item.
     Null, empty and blank texts match nothing.  Rows that repeat an id count as
     one document and the best of them is returned; a null id is an id like any
@@ -66,28 +71,19 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     need = F.greatest(F.lit(1), F.size("minima") - F.floor(F.col("n") * (100 - CONTAINMENT) / 100).cast("int"))
     sketch = hashed.select("item_id", "key", need.alias("need"), F.floor(F.pow(F.lit(2), F.col("class")) * CONTAINMENT / 100).alias("least"), F.explode_outer("minima").alias("h"))
     sketch = store.table(sketch, "sketch", owner)
-    blocks = -(-sketch.count() // BLOCK_VALUES)
+    # items of fewer words than a shingle: at most WIDTH - 1 lengths, whose shingles documents get as well
+    short = sorted(r[0] for r in items.where(F.size("w") < WIDTH).select(F.size("w")).distinct().collect())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     worded = rows.select("doc_id", words(F.col("text")).alias("w"))  # a column of its own, so that texts are split once
-    shingled = worded.select("doc_id", shingle_hashes(F.col("w")).alias("hs"))
+    shingled = worded.select("doc_id", F.size("w").alias("size"), (F.concat(*(shingle_hashes(F.col("w"), n) for n in (WIDTH, *short))) if short else shingle_hashes(F.col("w"))).alias("hs"))
     # the outer form: for the inner one Spark infers a filter on the array, and would build the array twice
-    exploded = shingled.select("doc_id", F.size("hs").alias("size"), "hs").select("doc_id", "size", F.explode_outer("hs").alias("h"))
-    parts = []
-    for b in range(blocks):
-        part = sketch if blocks == 1 else sketch.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
-        hits = exploded.join(F.broadcast(part), "h").where(F.col("size") >= F.col("least"))
-        counted = hits.groupBy("doc_id", "item_id", "key", "need", "h").agg(F.lit(1).alias("_one")).groupBy("doc_id", "item_id", "key", "need").agg(F.count(F.lit(1)).alias("hits"))
-        parts.append(counted.where(F.col("hits") >= F.col("need")).select("doc_id", "item_id", "key"))
-    schema = f"{rows.select('doc_id').schema.toDDL()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_item long, n_shared long, containment double"
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    pairs = store.table(found, "candidates", owner)
+    exploded = shingled.select("doc_id", "size", F.explode_outer("hs").alias("h"))
+    hits = exploded.join(store.bounded_broadcast(sketch, sketch.count(), BROADCAST_VALUES), "h").where(F.col("size") >= F.col("least"))
+    counted = hits.groupBy("doc_id", "item_id", "key", "need", "h").agg(F.lit(1).alias("_one")).groupBy("doc_id", "item_id", "key", "need").agg(F.count(F.lit(1)).alias("hits"))
+    pairs = store.table(counted.where(F.col("hits") >= F.col("need")).select("doc_id", "item_id", "key"), "candidates", owner)
     ids = pairs.select(F.col("doc_id").alias("_id")).distinct()
     hint = store.bounded_broadcast(ids, ids.count(), BROADCAST_IDS)
-    checked = rows.join(hint, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_texts(F.col("w")).alias("own"))
+    checked = rows.join(hint, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_texts(F.col("w"), (WIDTH, *short)).alias("own"))
     at = pairs.select(F.col("doc_id").alias("_id"), F.col("item_id").alias("_item"), F.col("key").alias("_key"))
     pair = checked.join(at, F.col("doc_id").eqNullSafe(F.col("_id"))).join(items.select("item_id", "key", "shingles", "n"), (F.col("_item").eqNullSafe(F.col("item_id"))) & (F.col("_key") == F.col("key")))
     shared = pair.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared"))
@@ -97,7 +93,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "op") -> DataFrame:
-    """``docs`` without the documents that contain an item; all columns stay."""
+    """``docs`` without the documents that contain an item; all columns stay.
+
+    Null, empty and blank texts stay; rows that repeat an id are one document and
+    go or stay together, a null id being an id like any other; an empty table
+    stays empty, and with an empty benchmark every row stays.
+    """
     found = store.table(find(docs, benchmark, id_col, text_col, owner=owner).select(F.col("doc_id").alias("_contaminated")).distinct(), "contaminated", owner)
     hint = store.bounded_broadcast(found, found.count(), BROADCAST_IDS)
     return docs.join(hint, docs[id_col].eqNullSafe(hint["_contaminated"]), "left_anti")
