@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm import text as tx
+
 START, END = "<|im_start|>", "<|im_end|>"
+#: Records of more field paths are of no layout: data used as names.
+MOST_PATHS = 1000
 
 
 def paths(value: Any, at: str = "") -> set[str]:
@@ -62,34 +66,52 @@ MAPPINGS = {fingerprint(set(x["paths"])): x for x in LAYOUTS}
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
+def select_mapping(found: set[str], rows: bool = False) -> dict[str, Any] | None:
+    """The mapping whose fingerprint is that of ``found``, or of the most of its fields if there are others beside them."""
+    if len(found) > MOST_PATHS:
+        return None
+    fit = [x for x in LAYOUTS if ("rows" in x) == rows and fingerprint(found & set(x["paths"])) in MAPPINGS and set(x["paths"]) <= found]
+    return max(fit, key=lambda x: len(x["paths"]), default=None)
+
+
+def _said(value: Any) -> str:
+    """A text field; None for no value, an error for what is no text."""
+    if value is not None and not isinstance(value, str):
+        raise TypeError("not a text")
+    return (value or "").encode("utf-8", "replace").decode()  # lone surrogates can't be stored
+
+
 def record_turns(record: dict[str, Any]) -> list[tuple[str, str]] | None:
-    """Canonical (role, text) turns of a record, or None for a layout without mapping."""
-    mapping = MAPPINGS.get(fingerprint(paths(record)))
-    if mapping is None or "rows" in mapping:
+    """Canonical (role, text) turns of a record, or None for a layout without mapping and for one that its values don't fit."""
+    try:
+        if (mapping := select_mapping(paths(record))) is None:
+            return None
+        if "each" in mapping:
+            items, role, said = mapping["each"]
+            return [(ROLES.get(_said(m[role]), _said(m[role])), _said(m[said])) for m in record[items]]
+        out = []
+        for role, fields in mapping["turns"]:
+            parts = [_said(record[f]) for f in ((fields,) if isinstance(fields, str) else fields)]
+            out.append((role, "\n\n".join(p for p in parts if p)))
+        return out
+    except (KeyError, TypeError, AttributeError, RecursionError):  # fields that only some items have, or values of another type
         return None
-    if "each" in mapping:
-        items, role, said = mapping["each"]
-        return [(ROLES.get(m[role], m[role] or ""), m[said] or "") for m in record[items]]
-    out = []
-    for role, fields in mapping["turns"]:
-        parts = [record[f] for f in ((fields,) if isinstance(fields, str) else fields)]
-        out.append((role, "\n\n".join(p for p in parts if p)))
-    return out
 
 
 def canonical_turns(df: DataFrame, json_col: str | None = None, id_col: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text from a table of any mapped layout.
 
     Without ``json_col`` the table's own schema is fingerprinted and must have a
-    mapping of rows by turn; columns beyond the mapping are ignored if the rest
-    matches.  With it, each row's JSON is fingerprinted; a record that is null,
-    not an object or of an unknown layout gives one row with turn -1, role
-    ``unmapped`` and its JSON, so that nothing is lost.
+    mapping of rows by turn.  With it, each row's JSON is fingerprinted; a record
+    that is null, not an object, of an unknown layout, or with values that its
+    layout does not fit gives one row with turn -1, role ``unmapped`` and its
+    JSON, so that nothing is lost.  Either way fields beyond the mapping's are
+    left out of the fingerprint.
     """
     if json_col is None:
         found = schema_paths(df.schema)
-        mapping = MAPPINGS.get(fingerprint(found)) or next((x for x in LAYOUTS if "rows" in x and set(x["paths"]) <= found), None)
-        if mapping is None or "rows" not in mapping:
+        mapping = select_mapping(found, rows=True)
+        if mapping is None:
             raise ValueError(f"no mapping for a table with the fields {sorted(found)}")
         conv, turn, role, said = mapping["rows"]
         return df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(said).cast("string"), F.lit("")).alias("text"))
@@ -100,13 +122,13 @@ def canonical_turns(df: DataFrame, json_col: str | None = None, id_col: str = "c
             for conv, raw in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "raw")), strict=True):
                 try:
                     record = json.loads(raw) if raw else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
                 turns = record_turns(record) if isinstance(record, dict) else None
                 rows += [(conv, -1, "unmapped", raw or "")] if turns is None else [(conv, k, r, t) for k, (r, t) in enumerate(turns)]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["conv_id", "turn", "role", "text"])
 
-    return df.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).cast("string").alias("raw")).mapInArrow(run, "conv_id long, turn long, role string, text string")
+    return df.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).cast("string").alias("raw")).transform(tx.in_batches, run, "conv_id long, turn long, role string, text string")
 
 
 # --- the template -----------------------------------------------------------
@@ -154,7 +176,10 @@ def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation, read back from the formatted turns: counts and hashes.
 
     Turns stream through each task in order; what is held is one hash state, so
-    a conversation with a third of all rows needs no more memory than any other.
+    a conversation with a third of all rows needs no more memory than any other
+    (a digest of a sequence is one task's work).  Null ids are one conversation,
+    empty texts give turns of no text, repeated rows count, an empty table gives
+    no rows.
     """
     dealt = formatted.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "ordinal")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -192,4 +217,4 @@ def digests(formatted: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [[]] * 6, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return dealt.select("conv_id", "formatted", "mask_start", "mask_length").mapInArrow(run, schema)
+    return tx.in_batches(dealt.select("conv_id", "formatted", "mask_start", "mask_length"), run, schema)

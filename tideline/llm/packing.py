@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import contextlib
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from tideline.llm import text as tx
 #: Up to so many partition totals (16 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_PARTITIONS = 500_000
 #: Distinct words whose ids one Python worker remembers.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _loaded: dict[str, WordIds] = {}
 #: Byte-level models show each byte as a letter; those of two-byte Latin letters are all shown as U+0100 + n or as themselves.
@@ -47,18 +46,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def id_kind(path: str, tokenizer=None) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if (tokenizer or Tokenizer.from_file(path)).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class WordIds:
     """Ids of single words by a tokenizer file, each distinct piece encoded once per worker.
 
     A word of lower-case Latin letters with closing punctuation is two pieces,
     which the tokenizer's own rules also part; the first goes straight to its
-    merge model.  Any other word goes through the whole tokenizer.
+    merge model.  Any other word goes through the whole tokenizer.  Ids are kept
+    in ``kind``: two bytes, or four for a vocabulary beyond 65,536.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = id_kind(path, self.tokenizer)
         self.known: dict[str, bytes] = {}
         self.model, self.simple = self.tokenizer.model, False
         plain, odd = "thing", "étoile"
@@ -66,10 +73,10 @@ class WordIds:
             self.simple = all(self._letters(x) == self._whole([x])[0] for x in (plain, odd)) and self._whole([plain + ".,"])[0] == self._letters(plain) + self._whole([".,"])[0]
 
     def _whole(self, words: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, word: str) -> bytes:
-        return array("H", [t.id for t in self.model.tokenize(word if word.isascii() else "".join(_BYTE_LETTER[b] for b in word.encode()))]).tobytes()
+        return np.array([t.id for t in self.model.tokenize(word if word.isascii() else "".join(_BYTE_LETTER[b] for b in word.encode()))], self.kind).tobytes()
 
     def _look_up(self, words: list[str], simple: bool) -> list[bytes]:
         known = self.known
@@ -102,13 +109,14 @@ def encode(texts: pa.Array, ids_of: WordIds, end: int) -> tuple[np.ndarray, np.n
     coded = flat.dictionary_encode()
     pieces, of_word = ids_of(coded.dictionary)
     codes = of_word[coded.indices.to_numpy(zero_copy_only=False)].ravel()
-    sizes = np.fromiter((len(p) // 2 for p in pieces), np.int64, len(pieces))
-    pool = np.frombuffer(b"".join(pieces), "<u2")
+    each = np.dtype(ids_of.kind).itemsize
+    sizes = np.fromiter((len(p) // each for p in pieces), np.int64, len(pieces))
+    pool = np.frombuffer(b"".join(pieces), ids_of.kind)
     first = np.cumsum(sizes) - sizes
     n = sizes[codes]
     before = np.concatenate([[0], np.cumsum(n)])
     offsets = before[at * 2] + np.arange(len(at))  # an end id after each text
-    out = np.full(offsets[-1], end, "<u2")
+    out = np.full(offsets[-1], end, ids_of.kind)
     body = np.ones(len(out), bool)
     body[offsets[1:] - 1] = False
     out[body] = pool[np.repeat(first[codes] - before[:-1], n) + np.arange(before[-1])]
@@ -116,7 +124,7 @@ def encode(texts: pa.Array, ids_of: WordIds, end: int) -> tuple[np.ndarray, np.n
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, part, local (tokens of the partition before the row), n and ids (16-bit little-endian)."""
+    """doc_id, part, local (tokens of the partition before the row), n and ids (little-endian, of ``id_kind``'s size)."""
     schema = "doc_id long, part int, local long, n long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,22 +132,24 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int = 1, id_col: str = "doc_i
         for batch in (s for b in batches for s in tx.steps(b)):
             ids, offsets = encode(batch.column("text"), ids_of, end)
             n = np.diff(offsets)
-            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets * 2).astype(np.int32)), pa.py_buffer(ids)])
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(local + offsets[:-1]), pa.array(n), raw], ["doc_id", "part", "local", "n", "ids"])
             local += int(offsets[-1])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(tx.in_batches, run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", owner: str = "op") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", owner: str = "op", with_ids: bool = True) -> DataFrame:
     """One row per piece of a document in a packed sequence of ``window`` tokens.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
-    and ids (array<int>).  A null or empty text is its end id alone.  Rows that
+    and (``with_ids``) ids (array<int>).  A null or empty text is its end id alone.  Rows that
     repeat an id are documents of their own; a null id stays null; an empty
     table gives no rows.  Only the last sequence has padding.
     """
-    rows = store.table(tokenize(docs, tokenizer or default_tokenizer(), end, id_col, text_col), "tokens", owner)
+    tokenizer = tokenizer or default_tokenizer()
+    kind = id_kind(tokenizer)
+    rows = store.table(tokenize(docs, tokenizer, end, id_col, text_col), "tokens", owner)
     totals = rows.groupBy("part").agg(F.sum("n").alias("_total"))
     base = totals.select("part", (F.sum("_total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("_base"))
     base = store.table(base.select("part", F.coalesce("_base", F.lit(0)).alias("_base")), "bases", owner)
@@ -151,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end:
             out: list[tuple] = []
             held = 0
             for k, raw in enumerate(batch.column("ids")):
-                ids = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4")
+                ids = np.frombuffer(raw.as_buffer(), kind).astype("<u4")
                 edges = np.arange(-(at[k] % window), n[k] + window, window).clip(0, n[k])
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if b > a:
@@ -167,7 +177,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end:
     def rows_of(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
         k, start, length, crc, n, seq, off, ids = zip(*out, strict=True)
         where = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(where), pa.array(np.concatenate(ids).astype(np.int32)))
-        return pa.record_batch([batch.column("doc_id").take(pa.array(k)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n, seq, off)), lists], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        lists = [pa.ListArray.from_arrays(pa.array(where), pa.array(np.concatenate(ids).astype(np.int32)))] if with_ids else []
+        return pa.record_batch([batch.column("doc_id").take(pa.array(k)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n, seq, off)), *lists], names)
 
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    return tx.in_batches(placed, cut, schema)

@@ -72,7 +72,7 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
 
     schema = "sums binary, n long"
     # one vector from each task; a few tasks add them up, so the driver gets eight
-    parts = rows.mapInArrow(count, schema).repartition(8).mapInArrow(add, schema).collect()
+    parts = tx.in_batches(tx.in_batches(rows, count, schema).repartition(8), add, schema).collect()
     sums = sum((np.frombuffer(r.sums, np.int64).reshape(2, -1) for r in parts), np.zeros((2, BUCKETS), np.int64))
     p = (sums + _SMOOTH) / (sums + _SMOOTH).sum(axis=1, keepdims=True)
     return Model(np.log(p[1] / p[0]), sum(r.n for r in parts))
@@ -91,7 +91,7 @@ def weigh(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
             w = np.bincount(doc, held.value[slots], batch.num_rows)
             yield pa.record_batch([*(batch.column(k) for k in range(len(names))), pa.array(n.astype(np.int64)), pa.array(w.astype(np.float64))], [*names, "n_grams", "log_weight"])
 
-    return rows.mapInArrow(run, f"{rows.drop('_text').schema.toDDL()}, n_grams long, log_weight double")
+    return tx.in_batches(rows, run, f"{rows.drop('_text').schema.toDDL()}, n_grams long, log_weight double")
 
 
 def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", owner: str = "op") -> DataFrame:
@@ -103,7 +103,8 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
     other; ties are ranked by id; an empty target or table raises nothing.
     """
     model = fit(docs, target, id_col, text_col)
-    rows = weigh(docs, model, [F.col(id_col).cast("long").alias("doc_id")], text_col)
+    # a table: the sort reads the weights twice, for its ranges and for itself
+    rows = store.table(weigh(docs, model, [F.col(id_col).cast("long").alias("doc_id")], text_col), "weights", owner)
     u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = rows.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     # a global order: each row's number in its range partition, and the rows of the partitions before

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir)).drop("ids")
+    return packing.pack(_documents(spark, sf_dir), with_ids=False)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +55,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with dw as (
   select doc_id, row_number() over () rid, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
-ds as (
-  select distinct doc_id, rid, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) s from dw where len(w) > 0),
 bw as (
   select item_id, row_number() over () iid, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark),
+ks as (select distinct least(len(w), 5) k from bw where len(w) > 0),
+ds as (
+  select distinct doc_id, rid, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) s from dw, ks where len(w) >= k),
 bs as (
   select distinct item_id, iid, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) s from bw where len(w) > 0),
 n as (select iid, count(*) n from bs group by iid),
@@ -80,10 +82,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat.END}{chat.START}assistant ok"
-    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said)]
-    own = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    own = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
+    more = chat.canonical_turns(spark.createDataFrame([(-1, own)], "conv_id long, record string"), "record")
     turns = chat.canonical_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return chat.digests(chat.format_turns(turns.unionByName(chat.canonical_turns(own))))
+    return chat.digests(chat.format_turns(turns.unionByName(more)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

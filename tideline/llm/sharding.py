@@ -93,7 +93,7 @@ def assign_shards(docs: DataFrame, shards: list[Shard], grown: list[Shard] | Non
         F.crc32(text).cast("long").alias("text_crc32"),
         place(key, shards).alias("shard"),
         (place(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(key), F.lit(SLOT_GROUPS)).cast("int").alias("_group"),
+        F.pmod(F.xxhash64(key, F.crc32(text)), F.lit(SLOT_GROUPS)).cast("int").alias("_group"),
     ]
     rows = store.table(docs.select(*columns), "placed")
     # first pass: rows of each group; at most shards * SLOT_GROUPS rows, whatever the input
