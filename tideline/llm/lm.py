@@ -1,9 +1,13 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark.
 
-Counting: each task counts the n-grams of its texts and sends them in blobs, one
-for each hash bucket; a bucket merges its blobs into sorted hash arrays, which
-lie in the shared folder and are memory-mapped by the workers that score texts.
-Lower orders hold continuation counts (distinct left neighbours).
+Words are counted first and numbered, the frequent ones with small numbers.
+n-grams are then dealt by their last word but one: a bucket so holds all that
+follows a context and all that comes before a shorter n-gram, and makes every
+order down to two by itself.  Only the n-grams of words too frequent for one
+bucket are spread by all their words, and their sums meet in a second shuffle.
+Each bucket writes sorted hash arrays into the shared folder, which the workers
+that score texts map into memory.  Lower orders hold continuation counts
+(distinct left neighbours).
 """
 
 from __future__ import annotations
@@ -20,16 +24,25 @@ from pyspark.sql import functions as F
 from tideline.llm import store
 from tideline.llm import text as tx
 
-#: Longest n-grams: two words of context.  The disk that this takes stands in the README.
+#: Longest n-grams: two words of context.
 ORDER = 3
-#: Hash buckets of the arrays: a power of two, one for so many bytes of input, so that each fits a task's memory.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 64, 1 << 16
-#: A context's n-grams go to this many buckets by their last word, so that no context fills one.
-SALT = 8
-#: Words of n-grams that a task counts before it sends them on.
-HELD = 6_000_000
-
-BEGIN, END = np.uint64(1), np.uint64(2)
+#: Tokens for each bucket of n-grams, and words for each bucket of words: what a task holds at a time, whatever the corpus.
+BUCKET_TOKENS, BUCKET_WORDS = 1 << 21, 1 << 18
+LEAST_BUCKETS = 64
+#: A word of more tokens than this has its n-grams spread over all buckets.
+HOT_TOKENS = 1 << 21
+#: n-grams that a task gathers before it sends them on.
+HELD = 1 << 20
+#: So many of the most frequent words are numbered by rank, which shortens what is sent; 12 bytes each.
+RANKED = 1 << 16
+#: Files that a worker keeps mapped at a time.
+MAPPED = 4096
+#: Keys that share an index entry of an array; with 32 more bits of each key, a key that was never counted is found with chance 4e-9.
+GROUP_BITS = 4
+
+END = np.uint64(2)
+#: Numbers of the mark before a text's first word, and of a word that was never counted.
+BEGIN_ID, UNKNOWN_ID = 0, 1
 
 
 class Model(NamedTuple):
@@ -38,6 +51,8 @@ class Model(NamedTuple):
     uri: str
     order: int
     buckets: int
+    word_buckets: int
+    hot: int  # tokens from which a word's n-grams are spread
     tokens: int  # N: training tokens
     types: int  # V: distinct training tokens
     discounts: list[list[float]]  # by order: D1, D2, D3+
@@ -45,41 +60,64 @@ class Model(NamedTuple):
     mass: float  # share of the continuation total that is left after the discounts
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's words and then its end, and the offsets of the texts."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, each text's words and then its end by number in them, and the offsets of the texts."""
     codes, distinct, offsets = tx.words(texts)
-    h = tx.hash_words(distinct)
     n = len(offsets) - 1
     at = offsets + np.arange(n + 1)
-    out = np.full(at[-1], END, np.uint64)
+    out = np.full(at[-1], len(distinct), np.int64)
     body = np.ones(len(out), bool)
     body[at[1:] - 1] = False
-    out[body] = h[codes]
-    return out, at
+    out[body] = codes
+    return np.append(tx.hash_words(distinct), END), out, at
 
 
-def _previous(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+def _previous(numbers: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
     """For k = order - 1 .. 1 the token k places before each token (the begin mark before a text's first)."""
-    out = [tokens]
+    out = [numbers]
     for _ in range(1, order):
-        before = np.empty_like(tokens)
+        before = np.empty_like(numbers)
         before[1:] = out[0][:-1]
-        before[at[:-1]] = BEGIN
+        before[at[:-1]] = BEGIN_ID
         out.insert(0, before)
     return out[:-1]
 
 
-def _sequence(tokens: list[np.ndarray]) -> np.ndarray:
-    """A hash of the tokens of each row, in order; of one token it is the token itself."""
-    out = tokens[0]
-    for t in tokens[1:]:
-        out = tx.combine(out, t)
+def _sequence(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of the word numbers of each row, in order."""
+    out = tx.mix(columns[0].astype(np.uint64) + np.uint64(len(columns)))
+    for c in columns[1:]:
+        out = tx.combine(out, c.astype(np.uint64))
     return out
 
 
-def _bucket(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
-    salt = tx.mix(word) % np.uint64(SALT)
-    return (tx.mix(context + salt) % np.uint64(buckets)).astype(np.int64)
+def _spread(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (tx.mix(key) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and its rows, in their order."""
+    order = np.argsort(bucket.astype("<u2") if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+    at = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their columns; small word numbers go in pairs."""
+    if columns[0].itemsize == 4:
+        odd = len(columns) % 2
+        first, rest = columns[:odd], columns[odd:]
+        columns = [*first, *(a.astype(np.uint64) << np.uint64(32) | b for a, b in zip(rest[::2], rest[1::2], strict=True))]
+    return np.lexsort(columns[::-1])
+
+
+def _bucket_of(columns: list[np.ndarray], hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of n-grams: by the last word but one, or from ``buckets`` on by all words where that one is hot."""
+    return np.where(hot, buckets + _spread(_sequence(columns), buckets), _spread(_sequence(columns[-2:-1]), buckets))
+
+
+# --- blobs: sorted rows of word numbers and counts, coded by steps and bytes ----
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -87,203 +125,359 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes()
 
 
+def _by_middle(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns as they are sorted and sent: the last word but one first."""
+    return [columns[-2], *columns[:-2], columns[-1]] if len(columns) > 1 else columns
+
+
 def _pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Columns of hashes as numbers of their distinct values, rows sorted, and each number and value as its step from the one before."""
-    values, number = np.unique(np.concatenate(columns), return_inverse=True)
-    number = number.reshape(len(columns), -1)
-    order = np.lexsort(number[::-1])
-    step = np.diff(number[:, order].astype("<i4"), axis=1, prepend=np.int32(0))
-    sizes = np.array([len(values), len(order)], "<i8").tobytes()
-    parts = [_planes(np.diff(values, prepend=np.uint64(0))), *(_planes(d << 1 ^ d >> 31) for d in step), *(_planes(c.astype("<u8")) for c in counts[order].reshape(len(order), -1).T)]
-    return zstandard.compress(b"".join([sizes, *parts]), 1)
+    """Sorted rows: all columns but the last of several as steps from the row before, then the counts."""
+    steps = max(len(columns) - 1, 1)
+    differences = [np.diff(c.astype("<i8"), prepend=0) for c in columns[:steps]]
+    parts = [*(d << 1 ^ d >> 63 for d in differences), *(c.astype("<i8") for c in columns[steps:]), *counts.astype("<i8").reshape(len(counts), -1).T]
+    return zstandard.compress(b"".join([np.array([len(counts)], "<i8").tobytes(), *map(_planes, parts)]), 1)
 
 
-def _unpack(raw: bytes, columns: int, sums: int) -> list[np.ndarray]:
+def _unpack(raw: bytes, columns: int, sums: int, kind: str) -> list[np.ndarray]:
     raw = zstandard.decompress(raw)
-    n_values, n = (int(x) for x in np.frombuffer(raw, "<i8", 2))
-    at = 16
-
-    def take(kind: str, rows: int) -> np.ndarray:
-        nonlocal at
-        size = np.dtype(kind).itemsize
-        out = np.ascontiguousarray(np.frombuffer(raw, np.uint8, rows * size, at).reshape(size, rows).T).view(kind)[:, 0]
-        at += rows * size
-        return out
-
-    values = np.cumsum(take("<u8", n_values), dtype=np.uint64)
-    out = []
-    for _ in range(columns):
-        z = take("<i4", n)
-        out.append(values[np.cumsum((z >> 1 & 0x7FFFFFFF) ^ -(z & 1), dtype=np.int32)])
-    return [*out, np.stack([take("<u8", n).astype(np.int64) for _ in range(sums)], axis=1)]
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    parts = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8, 8 + k * n * 8).reshape(8, n).T).view("<i8")[:, 0] for k in range(columns + sums)]
+    steps = max(columns - 1, 1)
+    words = [np.cumsum((z >> 1) ^ -(z & 1)) for z in parts[:steps]] + parts[steps:columns]
+    return [*(w.astype(kind) for w in words), np.stack(parts[columns:], axis=1)]
 
 
-def _group(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows taken together, their counts added; sorted by the hash of the row."""
-    if not len(counts):
-        return columns, counts
+def _group(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Equal rows taken together, their counts added: sorted by key; the columns, the counts and the keys."""
     key = _sequence(columns)
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return [c[order[first]] for c in columns], np.add.reduceat(counts[order], first)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return [c[order[first]] for c in columns], np.add.reduceat(counts[order], first) if len(key) else counts, key[first]
 
 
-def _grams(rows: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Blobs of the n-grams (words and count) of each bucket, and of the words (bucket -1 - b)."""
+def _send(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """One blob of sorted rows for each bucket."""
+    columns = _by_middle(columns)
+    at = _order(columns)
+    columns, counts = [c[at] for c in columns], counts[at]
+    for b, rows in _by_bucket(bucket[at]):
+        yield b, _pack([c[rows] for c in columns], counts[rows])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list[np.ndarray], np.ndarray]] = []
-        size = 0
 
-        def send() -> Iterator[pa.RecordBatch]:
-            columns, counts = _group([np.concatenate(c) for c in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]))
-            yield from _send(columns, counts, _bucket(_sequence(columns[:-1]), columns[-1], buckets), 0)
-            words, n = _group([columns[-1]], counts)
-            yield from _send(words, n, (tx.mix(words[0]) % np.uint64(buckets)).astype(np.int64), buckets)
+# --- arrays ---------------------------------------------------------------------
 
-        for batch in (s for b in batches for s in tx.steps(b)):
-            tokens, at = _tokens(batch.column("text"))
-            held.append(_group([*_previous(tokens, at, order), tokens], np.ones(len(tokens), np.int64)))
-            size += order * len(held[-1][1])
-            if size > HELD:
-                yield from send()
-                held, size = [], 0
-        if held:
-            yield from send()
 
-    return rows.mapInArrow(run, "bucket int, raw binary")
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` in the smallest type that holds all its values."""
+    return x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if x.max(initial=0) <= np.iinfo(t).max))
 
 
-def _send(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
-    """One blob for each bucket (numbers from ``base`` on)."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        rows = order[a:b]
-        raw = _pack([c[rows] for c in columns], counts[rows])
-        yield pa.record_batch([pa.array([base + int(bucket[rows[0]])], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "raw"])
+def write_table(uri: str, keys: np.ndarray, values: np.ndarray) -> None:
+    """Sorted distinct 64-bit ``keys`` and the row of numbers of each.
 
+    The file holds an index by the first bits of the keys, the 32 bits after
+    them, a number for each key's row, and the distinct rows.
+    """
+    values = values.reshape(len(keys), -1)
+    code = values[:, 0].astype(np.uint64)
+    for c in values.T[1:]:
+        code = tx.combine(code, c.astype(np.uint64))
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    bits = max(len(keys).bit_length() - GROUP_BITS, 1)
+    index = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4")
+    low = (keys << np.uint64(bits) >> np.uint64(32)).astype("<u4")
+    number = _narrow(number)
+    head = np.array([len(keys), bits, number.itemsize, len(first), values.shape[1]], "<i8")
+    store.write_array(uri, np.concatenate([np.ascontiguousarray(x).view(np.uint8).ravel() for x in (head, values[first].astype("<i8"), index, low, number)]))
+
+
+class Table:
+    """A table written by ``write_table``, mapped."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        n, self.bits, size, rows, width = (int(x) for x in raw[:40].view("<i8"))
+        at = 40 + rows * width * 8
+        self.rows = raw[40:at].view("<i8").reshape(rows, width)
+        end = at + ((1 << self.bits) + 1) * 4
+        self.index, self.low, self.number = raw[at:end].view("<u4"), raw[end : end + 4 * n].view("<u4"), raw[end + 4 * n :].view(f"<u{size}")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ``keys`` are there, and the rows of those."""
+        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        low = (keys << np.uint64(self.bits) >> np.uint64(32)).astype("<u4")
+        a, end = self.index[part].astype(np.int64), self.index[part + 1].astype(np.int64)
+        b = end.copy()
+        while (a < b).any():
+            middle = (a + b) >> 1
+            less = (self.low[np.minimum(middle, len(self.low) - 1)] < low) & (a < b)
+            a, b = np.where(less, middle + 1, a), np.where(less, b, np.minimum(middle, b))
+        at = np.minimum(a, len(self.low) - 1)
+        hit = (a < end) & (self.low[at] == low)
+        return hit, self.rows[self.number[at[hit]]]
 
-def _buckets(docs: DataFrame) -> int:
-    """Enough buckets for the input's size as the planner knows it."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(1 << (size // BUCKET_BYTES).bit_length(), LEAST_BUCKETS), MOST_BUCKETS)
 
+class _Arrays:
+    """The model's arrays: mapped at first use, the MAPPED used last kept."""
 
-def _merge(blobs: pa.ChunkedArray, columns: int, sums: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [_unpack(b.as_buffer().to_pybytes(), columns, sums) for b in blobs]
-    *out, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    return _group(out, counts if sums > 1 else counts[:, 0])
+    def __init__(self, model: Model) -> None:
+        self.model, self.open = model, {}
+
+    def _map(self, name: str, read: Callable):
+        """What ``read`` makes of a file, or None where a bucket got nothing."""
+        if name in self.open:
+            self.open[name] = self.open.pop(name)
+            return self.open[name]
+        while len(self.open) >= MAPPED:
+            del self.open[next(iter(self.open))]
+        try:
+            self.open[name] = read(store.map_array(f"{self.model.uri}/{name}", "u1"))
+        except FileNotFoundError:
+            self.open[name] = None
+        return self.open[name]
 
+    def look_up(self, name: Callable[[int], str], keys: np.ndarray, bucket: np.ndarray, width: int = 1) -> np.ndarray:
+        """The rows of ``keys`` in the table that ``name`` gives their bucket; zeros where there is none."""
+        out = np.zeros((len(keys), width), np.int64)
+        for b, rows in _by_bucket(bucket):
+            if (table := self._map(name(b), Table)) is not None:
+                hit, values = table.find(keys[rows])
+                out[rows[hit]] = values
+        return out
 
-def _by_bucket(df: DataFrame, merge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    return df.groupBy("bucket").applyInArrow(merge, schema)
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training count and number of each distinct word."""
+        bucket = _word_bucket(hashes, self.model.word_buckets)
+        out = np.zeros((2, len(hashes)), np.int64)
+        out[1] = UNKNOWN_ID
+        for b, rows in _by_bucket(bucket):
+            if (held := self._map(f"words.{b}", _split_words)) is not None:
+                key, count, number = held
+                k = np.minimum(np.searchsorted(key, hashes[rows]), len(key) - 1)
+                hit = key[k] == hashes[rows]
+                out[0, rows[hit]], out[1, rows[hit]] = count[k[hit]], number[k[hit]]
+        return out[0], out[1]
 
 
-def _stats(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+def _split_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and numbers of a bucket of words."""
+    n, a, b = (int(x) for x in raw[:24].view("<i8"))
+    cut = np.cumsum([24, 8 * n, a * n, b * n])
+    return raw[cut[0] : cut[1]].view("<u8"), raw[cut[1] : cut[2]].view(f"<u{a}"), raw[cut[2] : cut[3]].view(f"<u{b}")
 
 
-def _context_stats(context: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per context: its total, and how many of its n-grams count 1, 2, and 3 or more."""
-    return _group(context, np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64))
+def _word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(32) & np.uint64(buckets - 1)).astype(np.int64)
+
 
+# --- training -------------------------------------------------------------------
 
-_OUT = "bucket int, raw binary, stats array<long>"
 
+def _power(n: float, least: int = 1) -> int:
+    """The least power of two that is not under ``n`` and ``least``."""
+    return 1 << max(int(np.ceil(np.log2(max(n, 1)))), least.bit_length() - 1)
 
-def _result(bucket: list[int], raw: list, stats: list) -> pa.Table:
-    return pa.table({"bucket": pa.array(bucket, pa.int32()), "raw": pa.array(raw, pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
 
+def _count_words(rows: DataFrame, uri: str, owner: str) -> tuple[int, int, int]:
+    """Write the words' arrays (hash, count, number); tokens, types and buckets."""
 
-def _sent(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, base: int) -> list[tuple]:
-    return [(r.column(0)[0].as_py(), r.column(1)[0].as_py(), None) for r in _send(columns, counts, bucket, base)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in (s for b in batches for s in tx.steps(b)):
+            distinct, of, _ = _tokens(batch.column("text"))
+            held.append((distinct, np.bincount(of, minlength=len(distinct))))
+            if sum(len(h) for h, _ in held) > HELD:
+                yield sums(held)
+                held = []
+        if held:
+            yield sums(held)
+
+    def sums(held: list) -> pa.RecordBatch:
+        h, of = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([x[1] for x in held]), len(h)).astype(np.int64)
+        return pa.record_batch([pa.array(h[n > 0].view(np.int64)), pa.array(n[n > 0])], ["h", "n"])
+
+    words = store.table(tx.in_batches(rows, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words", owner)
+    tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = _power(types / BUCKET_WORDS, LEAST_BUCKETS // 2)
+    top = words.where(F.col("n") * RANKED >= tokens).orderBy(F.desc("n"), "h").limit(RANKED).select("h").collect()
+    ranked = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(ranked)
+    ranked, rank = ranked[order], order + UNKNOWN_ID + 1
+    bucket = F.shiftrightunsigned("h", 32).bitwiseAND(buckets - 1).cast("int")
+    sizes = {r.b: r["count"] for r in words.groupBy(bucket.alias("b")).count().collect()}  # one row a bucket
+    base = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[b] for b in sorted(sizes))])[:-1].tolist(), strict=True))
+
+    def write(group: pa.Table) -> pa.Table:
+        b = group.column("b")[0].as_py()
+        h, n = group.column("h").to_numpy().view(np.uint64), group.column("n").to_numpy()
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        number = base[b] + np.arange(len(h)) + len(ranked) + UNKNOWN_ID + 1
+        if len(ranked):
+            at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+            number = np.where(ranked[at] == h, rank[at], number)
+        n, number = _narrow(n), _narrow(number)
+        head = np.array([len(h), n.itemsize, number.itemsize], "<i8")
+        store.write_array(f"{uri}/words.{b}", np.concatenate([x.view(np.uint8) for x in (head, h, n, number)]))
+        tx.free()
+        return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+    words.select("h", "n", bucket.alias("b")).groupBy("b").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return int(tokens), int(types), buckets
+
+
+_OUT = "bucket long, raw binary, stats array<long>"
+
+
+def _result(out: list[tuple]) -> pa.Table:
+    bucket, raw, stats = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "raw": pa.array(raw, pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
+
+
+def _context_stats(context: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Per context: its total, and how many of its n-grams count 1, 2, and 3 or more."""
+    return _group(context, np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64))
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, buckets: int | None = None, owner: str = "op") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, hot: int | None = None, buckets: int | None = None, owner: str = "op") -> Model:
     """Count all rows of ``docs`` (null: empty) and write the model's arrays.
 
-    ``order`` is at least two.  Arrays by bucket: ``words`` (hash, count,
-    continuation count); for each order n from two ``n`` (hash of context and
-    word, count) and ``context-n`` (hash, total, and the numbers of n-grams that
-    count one, two, and more).
+    ``order`` is at least two.  Arrays by bucket: ``words``; for each order n
+    from two ``n`` (count) and ``context-n`` (total, and the numbers of n-grams
+    that count one, two, and more), ``hot-`` before the name for n-grams of hot
+    words; ``left`` (continuation count) by word.
     """
     if order < 2:
         raise ValueError("an n-gram model here has an order of two or more")
     spark = docs.sparkSession
-    buckets = buckets or _buckets(docs)
-    uri = store.new_path(spark, "model", owner)
+    # each query's shuffle files go at its end; what a later query needs stands in tables
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        return _train(docs, text_col, order, hot or HOT_TOKENS, buckets, owner)
+    finally:
+        spark.conf.set(cleanup, before)
+
+
+def _train(docs: DataFrame, text_col: str, order: int, hot: int, buckets: int | None, owner: str) -> Model:
+    uri = store.new_path(docs.sparkSession, "model", owner)
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    level = _grams(rows, order, buckets)
-    discounts: dict[int, list[float]] = {}
-    totals = tokens = types = 0
-    for n in range(order, 1, -1):
-        # buckets: [0, B) n-grams, [B, 2B) words; out: [0, B) the next order's n-grams, [2B, 3B) continuations, [3B, 4B) contexts
+    tokens, types, word_buckets = _count_words(rows, uri, owner)
+    buckets = buckets or _power(tokens / BUCKET_TOKENS, LEAST_BUCKETS)
+    kind = "<u4" if types + RANKED < 1 << 31 else "<i8"
+    words_only = Model(uri, order, buckets, word_buckets, hot, tokens, types, [], 0, 0.0)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = _Arrays(words_only)
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*(h[0] for h in held), strict=True)]
+            bucket = _bucket_of(columns, np.concatenate([h[1] for h in held]), buckets)
+            held.clear()
+            columns = _by_middle(columns)
+            at = _order(columns)
+            columns = [c[at] for c in columns]
+            new = np.ones(len(at), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])  # equal n-grams have one bucket
+            first = np.flatnonzero(new)
+            counts = np.diff(first, append=len(at))
+            columns = [c[first] for c in columns]
+            for b, rows in _by_bucket(bucket[at[first]]):
+                raw = _pack([c[rows] for c in columns], counts[rows])
+                yield pa.record_batch([pa.array([b], pa.int64()), pa.array([raw], pa.binary())], ["bucket", "raw"])
+
+        for batch in (s for b in batches for s in tx.steps(b)):
+            distinct, of, at = _tokens(batch.column("text"))
+            count, number = arrays.words(distinct)
+            ids, is_hot = number.astype(kind)[of], (count > hot)[of]
+            columns = [*_previous(ids, at, order), ids]
+            before = np.zeros(len(ids), bool)  # whether the last word but one is hot; the begin mark is as frequent as the end
+            before[1:] = is_hot[:-1]
+            before[at[:-1]] = count[of[at[1:] - 1]] > hot
+            held.append((columns, before))
+            if sum(len(h[1]) for h in held) > HELD:
+                yield from send()
+        if held:
+            yield from send()
+
+    level = tx.in_batches(rows, grams, "bucket long, raw binary")
+    stats: dict[int, np.ndarray] = {n: np.zeros(5, np.int64) for n in range(1, order + 1)}
+    ends: list[DataFrame] = []  # what goes to the words' buckets
+    def words_of(number: np.ndarray, sums: np.ndarray, base: int) -> list[tuple]:
+        return [(*x, None) for x in _send([number], sums, base + _spread(_sequence([number]), word_buckets))]
+
+    def merger(n: int) -> Callable[[pa.Table], pa.Table]:
+        # buckets, in spans of B: n-grams of cold words, of hot words, hot contexts; then words: their left neighbours, and what follows them
         def merge(group: pa.Table) -> pa.Table:
             b = group.column("bucket")[0].as_py()
-            if b >= buckets:  # words: only counted at the highest order
-                if b >= 2 * buckets:  # continuations go on unchanged
-                    return _result([b] * len(group), group.column("raw").to_pylist(), [None] * len(group))
-                (words,), counts = _merge(group.column("raw"), 1)
-                _save(uri, "words", b - buckets, words, counts)
-                return _result([-1], [None], [[len(words), int(counts.sum())]])
-            columns, counts = _merge(group.column("raw"), n)
-            _save(uri, str(n), b, _sequence(columns), counts)
-            values, sums = _context_stats(columns[:-1], counts)
-            out = _sent(values, sums, _word_bucket(_sequence(values), buckets), 3 * buckets)
-            if n > 2:  # distinct left neighbours of the shorter n-gram
-                shorter, left = _group(columns[1:], np.ones(len(counts), np.int64))
-                out += _sent(shorter, left, _bucket(_sequence(shorter[:-1]), shorter[-1], buckets), 0)
+            out: list[tuple] = []
+            if b >= 2 * buckets:  # contexts of n + 1 words
+                _, sums, keys = _merge(group.column("raw"), n, 4, kind)
+                write_table(f"{uri}/hot-context-{n + 1}.{b - 2 * buckets}", keys, sums)
             else:
-                words, left = _group([columns[-1]], np.ones(len(counts), np.int64))
-                out += _sent(words, left, (tx.mix(words[0]) % np.uint64(buckets)).astype(np.int64), 2 * buckets)
-            out.append((-2, None, [*_stats(counts), len(counts)]))
-            return _result(*(list(c) for c in zip(*out, strict=True)))
-
-        made = store.table(_by_bucket(level, merge, _OUT), f"order-{n}", owner)
-        for r in made.where("bucket < 0").groupBy("bucket").agg(*(F.sum(F.try_element_at("stats", F.lit(k + 1))).alias(f"s{k}") for k in range(5))).collect():
-            if r.bucket == -1:
-                types, tokens = r.s0, r.s1
-            else:
-                discounts[n] = _discounts([r.s0, r.s1, r.s2, r.s3])
-                totals = r.s4
-        contexts = made.where(F.col("bucket") >= 3 * buckets).select("bucket", "raw")
-
-        def context(group: pa.Table) -> pa.Table:
-            values, sums = _merge(group.column("raw"), n - 1, 4)
-            keys = _sequence(values)
-            b = group.column("bucket")[0].as_py() - 3 * buckets
-            store.write_array(f"{uri}/context-{n}.{b}.key", keys)
-            store.write_array(f"{uri}/context-{n}.{b}.sum", _narrow(sums))
-            return pa.table({"n": pa.array([len(keys)], pa.int64())})
-
-        _by_bucket(contexts, context, "n long").agg(F.sum("n")).collect()
-        level = made.where((F.col("bucket") >= 0) & (F.col("bucket") < 3 * buckets)).select("bucket", "raw")
-
-    def continuation(group: pa.Table) -> pa.Table:
-        (words,), left = _merge(group.column("raw"), 1)
-        _save(uri, "left", group.column("bucket")[0].as_py() - 2 * buckets, words, left)
-        return _result([-3], [None], [[*_stats(left), len(left)]])
-
-    parts = _by_bucket(level, continuation, _OUT).agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(5))).first()
-    n1, n2, n3, n4, n_words = (int(x or 0) for x in parts)
-    discounts[1] = _discounts([n1, n2, n3, n4])
-    removed = float(np.dot([n1, n2, n_words - n1 - n2], discounts[1]))
-    mass = 1.0 - removed / totals if totals else 0.0
-    return Model(uri, order, buckets, int(tokens or 0), int(types or 0), [discounts.get(n, [0.0] * 3) for n in range(order + 1)], int(totals or 0), mass)
+                columns, counts, keys = _merge(group.column("raw"), n, 1, kind)
+                cold, name = b < buckets, "" if b < buckets else "hot-"
+                for k in range(n, 1, -1):
+                    write_table(f"{uri}/{name}{k}.{b % buckets}", keys, counts)
+                    out.append((-k, None, [*((counts == c).sum() for c in (1, 2, 3, 4)), len(counts)]))
+                    values, sums, heads = _context_stats(columns[:-1], counts)
+                    if k == 2:
+                        out += words_of(values[0], sums, 3 * buckets + word_buckets)
+                    elif cold:
+                        write_table(f"{uri}/context-{k}.{b}", heads, sums)
+                    else:
+                        out += [(*x, None) for x in _send(values, sums, 2 * buckets + _spread(heads, buckets))]
+                    del values, sums, heads
+                    if k == 2:  # distinct left neighbours of each word
+                        (last,), left, _ = _group(columns[1:], np.ones(len(counts), np.int64))
+                        out += words_of(last, left, 3 * buckets)
+                    else:  # and of each shorter n-gram
+                        columns, counts, keys = _group(columns[1:], np.ones(len(counts), np.int64))
+                        if not cold:
+                            out += [(*x, None) for x in _send(columns, counts, buckets + _spread(keys, buckets))]
+                            break
+            tx.free()
+            return _result(out)
+
+        return merge
 
-
-def _save(uri: str, name: str, bucket: int, keys: np.ndarray, counts: np.ndarray) -> None:
-    order = np.argsort(keys, kind="stable")
-    store.write_array(f"{uri}/{name}.{bucket}.key", keys[order])
-    store.write_array(f"{uri}/{name}.{bucket}.count", _narrow(counts[order]))
+    for n in range(order, 1, -1):
+        made = store.table(level.groupBy("bucket").applyInArrow(merger(n), _OUT), f"order-{n}", owner)
+        for r in made.where("bucket < 0").groupBy("bucket").agg(F.array(*(F.sum(F.col("stats")[k]) for k in range(5))).alias("s")).collect():
+            stats[-r.bucket] += np.array(r.s)
+        ends.append(made.where(F.col("bucket") >= 3 * buckets).select("bucket", "raw"))
+        level = made.where((F.col("bucket") >= buckets) & (F.col("bucket") < 3 * buckets)).select("bucket", "raw")
+
+    def by_word(group: pa.Table) -> pa.Table:
+        b = group.column("bucket")[0].as_py() - 3 * buckets
+        if b >= word_buckets:
+            _, sums, keys = _merge(group.column("raw"), 1, 4, kind)
+            write_table(f"{uri}/context-2.{b - word_buckets}", keys, sums)
+            return _result([])
+        _, left, keys = _merge(group.column("raw"), 1, 1, kind)
+        write_table(f"{uri}/left.{b}", keys, left)
+        return _result([(-1, None, [*((left == c).sum() for c in (1, 2, 3, 4)), len(left)])])
+
+    last = ends[0]
+    for e in ends[1:]:
+        last = last.unionAll(e)
+    sums = last.groupBy("bucket").applyInArrow(by_word, _OUT).agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(5))).first()
+    stats[1] += np.array([x or 0 for x in sums])
+    discounts = [_discounts(stats[n][:4].tolist()) if n else [0.0] * 3 for n in range(order + 1)]
+    n1, n2, _, _, n_words = stats[1]
+    totals = int(stats[2][4])
+    removed = float(np.dot([n1, n2, n_words - n1 - n2], discounts[1]))
+    return words_only._replace(discounts=discounts, totals=totals, mass=1.0 - removed / totals if totals else 0.0)
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """``x`` in the smallest type that holds all its values; readers tell it by the array's size."""
-    return x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if x.max(initial=0) <= np.iinfo(t).max))
+def _merge(blobs: pa.ChunkedArray, columns: int, sums: int, kind: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    parts = [_unpack(b.as_buffer().to_pybytes(), columns, sums, kind) for b in blobs]
+    *words, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    return _group([*words[1:-1], words[0], words[-1]] if columns > 2 else words, counts if sums > 1 else counts[:, 0])
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -296,68 +490,48 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
 
 
-class _Arrays:
-    """The model's arrays, mapped at first use."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.open = model, {}
-
-    def _map(self, name: str, dtype: str) -> np.ndarray:
-        if name not in self.open:
-            try:
-                self.open[name] = store.map_array(f"{self.model.uri}/{name}", dtype)
-            except FileNotFoundError:  # a bucket that got nothing
-                self.open[name] = np.empty(0, dtype)
-        return self.open[name]
-
-    def look_up(self, name: str, keys: np.ndarray, bucket: np.ndarray, column: str = "count", width: int = 1) -> np.ndarray:
-        """The values of ``keys`` (distinct and in bucket order or not); zero where there is none."""
-        out = np.zeros((len(keys), width), np.int64)
-        order = np.lexsort((keys, bucket))
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[a:b]
-            held = self._map(f"{name}.{bucket[rows[0]]}.key", "<u8")
-            if not len(held):
-                continue
-            at = np.minimum(np.searchsorted(held, keys[rows]), len(held) - 1)
-            hit = held[at] == keys[rows]
-            values = self._map(f"{name}.{bucket[rows[0]]}.{column}", "u1")
-            values = values.view(f"<u{len(values) // (len(held) * width)}").reshape(-1, width)
-            out[rows[hit]] = values[at[hit]]
-        return out if width > 1 else out[:, 0]
+# --- scoring --------------------------------------------------------------------
 
 
-def _word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (tx.mix(h) % np.uint64(buckets)).astype(np.int64)
-
-
-def score_tokens(tokens: np.ndarray, at: np.ndarray, arrays: _Arrays) -> tuple[np.ndarray, np.ndarray]:
+def score_tokens(distinct: np.ndarray, of: np.ndarray, at: np.ndarray, arrays: _Arrays) -> tuple[np.ndarray, np.ndarray]:
     """Of each token: its training count, and log10 of its probability after the tokens before it."""
     m = arrays.model
-    words, number = np.unique(tokens, return_inverse=True)
-    counts = arrays.look_up("words", words, _word_bucket(words, m.buckets))
-    left = arrays.look_up("left", words, _word_bucket(words, m.buckets))
-    d = m.discounts[1]
-    total = max(m.totals, 1)
+    counts, ids = arrays.words(distinct)
+    key = _sequence([ids])
+    left = arrays.look_up("left.{}".format, key, _spread(key, m.word_buckets))[:, 0]
     # order one: continuation counts, interpolated with a uniform share for each type and the unknown word
-    used = _used(left, d)
-    reserve = 1.0 - m.mass
-    p = (used / total + reserve / (m.types + 1))[number]
-    previous = _previous(tokens, at, m.order)
+    p = (_used(left, m.discounts[1]) / max(m.totals, 1) + (1.0 - m.mass) / (m.types + 1))[of]
+    begin = _sequence([np.array([BEGIN_ID])])
+    heads = arrays.look_up("context-2.{}".format, np.append(key, begin), _spread(np.append(key, begin), m.word_buckets), 4)
+    words, hot = ids[of], (counts > m.hot)[of]
+    cold = _spread(np.append(key, begin), m.buckets)  # the bucket of what follows each word
+    last = _previous(of, at, 2)[0]  # the word before by its number here; the begin mark is the last
+    last[at[:-1]] = len(ids)
+    before = np.zeros(len(of), bool)
+    before[1:] = hot[:-1]
+    before[at[:-1]] = hot[at[1:] - 1]
+    bucket, previous = cold[last], _previous(words, at, m.order)
     for n in range(2, m.order + 1):
-        context = _sequence(previous[m.order - n :])
-        key = tx.combine(context, tokens)
-        keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-        c = arrays.look_up(str(n), keys, _bucket(context[first], tokens[first], m.buckets))[back]
-        heads, of = np.unique(context, return_inverse=True)
-        sums = arrays.look_up(f"context-{n}", heads, _word_bucket(heads, m.buckets), "sum", 4)[of]
+        columns = [*previous[m.order - n :], words]
+        c = _find(arrays, str(n), columns, before, bucket)[:, 0]
+        sums = heads[last] if n == 2 else _find(arrays, f"context-{n}", columns[:-1], before, bucket, 4)
         d = m.discounts[n]
         seen = sums[:, 0] > 0
         whole = np.maximum(sums[:, 0], 1)
         back_off = np.where(seen, (sums[:, 1:] @ np.array(d)) / whole, 1.0)
         p = np.where(seen, _used(c, d) / whole, 0.0) + back_off * p
-    return counts[number], np.log10(p)
+    return counts[of], np.log10(p)
+
+
+def _find(arrays: _Arrays, name: str, columns: list[np.ndarray], hot: np.ndarray, bucket: np.ndarray, width: int = 1) -> np.ndarray:
+    """The rows of n-grams: of cold words by ``bucket``, of hot ones by all words; zeros where one is not known."""
+    buckets = arrays.model.buckets
+    out = np.zeros((len(hot), width), np.int64)
+    known = np.flatnonzero(np.logical_and.reduce([c != UNKNOWN_ID for c in columns]))
+    keys = _sequence([c[known] for c in columns])
+    where = np.where(hot[known], buckets + _spread(keys, buckets), bucket[known])
+    out[known] = arrays.look_up(lambda b: f"{name}.{b}" if b < buckets else f"hot-{name}.{b - buckets}", keys, where, width)
+    return out
 
 
 def _used(counts: np.ndarray, d: list[float]) -> np.ndarray:
@@ -379,10 +553,10 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = _Arrays(model)
         for batch in (s for b in batches for s in tx.steps(b, "_text")):
-            tokens, at = _tokens(batch.column("_text"))
-            count, logp = score_tokens(tokens, at, arrays)
+            *tokens, at = _tokens(batch.column("_text"))
+            count, logp = score_tokens(*tokens, at, arrays)
             base = np.log10((count + 1) / (model.tokens + model.types + 1))
             sums = [np.add.reduceat(x, at[:-1]) for x in ((count > 0).astype(np.int64), base, logp)]
             yield pa.record_batch([*(batch.column(k) for k in range(len(names))), pa.array(np.diff(at)), *(pa.array(s) for s in sums)], [*names, *more])
 
-    return rows.mapInArrow(run, f"{rows.drop('_text').schema.toDDL()}, n_tokens long, n_known long, base_score double, score double")
+    return tx.in_batches(rows, run, f"{rows.drop('_text').schema.toDDL()}, n_tokens long, n_known long, base_score double, score double")
