@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import store
+from tideline.llm import text as tx
 
 WIDTH = 5
 #: Percent of an item's distinct shingles that a contaminated document holds.
@@ -63,6 +64,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     one document and the best of them is returned; a null id is an id like any
     other.  Whole texts of any length are searched.
     """
+    tx.bounded(docs.sparkSession)
     items = store.table(_items(benchmark, item_col, item_text_col), "items", owner)
     top = (F.lit(2) * F.pow(F.lit(2), F.col("class"))).cast("int") - 1  # the largest size of the class
     # a document may lack at most floor((100 - CONTAINMENT) * n / 100) shingles, so one more value than that leaves a hit

@@ -16,6 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a scratch table's row groups, which a task holds while it writes.
+ROW_GROUP = 16 << 20
+
 _scratch: dict[str, list[str]] = {}
 
 
@@ -41,7 +44,7 @@ def table(df: DataFrame, name: str, owner: str = "op") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, name, owner)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

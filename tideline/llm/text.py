@@ -10,14 +10,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of an operator holds at a time.
 STEP_BYTES = 4 << 20
 #: Texts that one step holds: short ones take more memory in vectors than in bytes.
 STEP_ROWS = 2048
-#: Bytes of an Arrow batch between the JVM and Python: both sides hold one for each task.
-BATCH_BYTES = "8m"
+#: Spark's settings for what a task holds of long texts, as Spark has them and as they are here; a user's own stay.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),  # of a batch between the JVM and Python, held by both
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),  # rows, whose texts lie in one growing array
+}
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -29,11 +32,15 @@ def free() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bounded(spark: SparkSession) -> None:
+    for name, (usual, here) in BOUNDS.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, here)
+
+
 def in_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``df`` through ``run`` in Arrow batches of bounded bytes; a task's memory is given back at its end."""
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(bound, "67108864b") == "67108864b":  # as Spark has it; a user's own bound stays
-        df.sparkSession.conf.set(bound, BATCH_BYTES)
+    bounded(df.sparkSession)
 
     def freed(batches: Batches) -> Batches:
         try:
