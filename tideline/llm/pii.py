@@ -1,7 +1,8 @@
 """Personal data: pattern spans, secrets, and terms that give protected entities away.
 
-Pattern spans (email, ip, card, phone) and secrets (runs of letters and digits
-that carry too much information to be a word) are the protected entities.  All
+Pattern spans (email, ip, card, phone) and secrets (access keys, values named as
+passwords or tokens, and runs of letters and digits that carry too much
+information to be a word) are the protected entities.  All
 words of their documents are candidates; corpus co-occurrence then tells how much
 of an entity's information a word carries.  Words over the disclosure threshold
 are found in all texts and, like the entities, generalised or removed.
@@ -50,6 +51,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _RUN = re.compile(r"[A-Za-z0-9]{16,}")
+#: How access keys of published formats start, and these formats.
+_KEY_STARTS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "AIza", "xox")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}[A-Za-z0-9])(?![A-Za-z0-9])")
+#: A value that is assigned, and the end of a name that says it is a secret.
+_VALUE = re.compile(r"[=:] ?[\"']?([A-Za-z0-9_+/.-]{7,}[A-Za-z0-9])")
+_NAMED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']? ?$")
 _WORD = re.compile(r"\w+")
 
 
@@ -108,7 +115,14 @@ def is_secret(run: str) -> bool:
 
 
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
-    return [(SECRET, *m.span()) for m in _RUN.finditer(text) if is_secret(m[0])]
+    """Access keys of published formats, values said to be secrets (with a letter and a digit), and runs by their information."""
+    told = [m.span(1) for m in _VALUE.finditer(text) if _NAMED.search(text, max(0, m.start() - 16), m.start()) and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+    keys = [m.span() for m in _KEY.finditer(text)] if any(k in text for k in _KEY_STARTS) else []
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted([*told, *keys, *(m.span() for m in _RUN.finditer(text) if is_secret(m[0]))], key=lambda s: (s[0], -s[1])):
+        if not spans or b > spans[-1][1]:  # what lies in another secret is a part of it
+            spans.append((a, b))
+    return [(SECRET, a, b) for a, b in spans]
 
 
 def _hash(x: str) -> int:
@@ -138,8 +152,9 @@ def _evidence(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray,
     return np.fromiter(known.values(), np.int64, len(known)), int(runs.min().view(np.int64)) if len(runs) else 0
 
 
-def _has_digit_or_at(texts: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_numpy(zero_copy_only=False)
+def _may_hold(texts: pa.Array) -> np.ndarray:
+    """Which texts have a digit, an @ or the start of a key that may lack digits."""
+    return pc.fill_null(pc.match_substring_regex(texts, "[0-9@]|A[KS]IA|gh[oprsu]_|AIza|xox[abprs]-"), False).to_numpy(zero_copy_only=False)
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -148,7 +163,7 @@ def evidence(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in tx.steps(b)):
-            texts = batch.column("text").filter(pa.array(_has_digit_or_at(batch.column("text"))))
+            texts = batch.column("text").filter(pa.array(_may_hold(batch.column("text"))))
             for text in texts.to_pylist():
                 if spans := _sorted(base_spans(text) + secret_spans(text)):
                     terms, context = _evidence(text, spans)
@@ -272,7 +287,7 @@ def find_spans(docs: DataFrame, keep: list, text_col: str = "text", owner: str =
         known = [store.map_array(f"{uri}/{k}", "<i8") for k in range(parts)]
         for batch in (s for b in batches for s in tx.steps(b, "_text")):
             texts = batch.column("_text")
-            digits, said = _has_digit_or_at(texts), np.zeros(len(texts), bool)
+            digits, said = _may_hold(texts), np.zeros(len(texts), bool)
             if known:
                 h, text = _words_of(texts)
                 said[text[_known(h, known)]] = True
